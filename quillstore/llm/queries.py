@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import compression, decontam
+import public_tokenizers
+
+from . import compression, decontam, langid, packing, sharding
 from .common import read_table
 
 
+def op3_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_consistent_hash_sharding(spark, sf_dir):
+    return sharding.digest(sharding.shard_rows(read_table(spark, sf_dir, "documents")))
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -15,7 +31,7 @@ def op10_compression_bands(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_benchmark_decontamination, op10_compression_bands)}
+    return {f.__name__: f for f in (op3_language_id, op5_consistent_hash_sharding, op7_best_fit_packing, op8_benchmark_decontamination, op10_compression_bands)}
 
 
 def oracle_sql() -> dict:
