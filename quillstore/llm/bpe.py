@@ -18,7 +18,8 @@ import numpy as np
 from . import kernels as K
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-KEEP_PIECES = 1_500_000
+#: Known pieces are forgotten beyond this number, which bounds a worker's memory.
+KEEP_PIECES = 300_000
 
 
 def _classes() -> np.ndarray:
@@ -44,7 +45,6 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -52,11 +52,19 @@ class Encoder:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.pieces = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         self.odd = re.compile(b"['\xe0-\xff]" + b"".join(b"|" + re.escape(s.encode()) for s in sorted(special)))
         self.classes = _classes()
         self.reset()
 
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def reset(self) -> None:
         self.keys, self.first, self.n = np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
