@@ -43,3 +43,9 @@ BROADCAST_BYTES = 8 << 20
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast only when ``rows * row_bytes`` (a proved bound) is below the limit; else leave the choice to Spark."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, compression, decontam, html_extract, langid, ngram_join, packing, sharding
+from . import chat, compression, decontam, html_extract, langid, license_scan, ngram_join, packing, sharding, site_quality
 from .common import read_table
 
 
@@ -18,12 +18,21 @@ def op1_prefix_target_chat(spark, sf_dir):
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op2_license_paragraphs(spark, sf_dir):
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(langid.training_rows(docs))
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_site_quality(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return site_quality.site_quality(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op5_consistent_hash_sharding(spark, sf_dir):
     return sharding.digest(sharding.shard_rows(read_table(spark, sf_dir, "documents")))
 
@@ -50,7 +59,9 @@ def op10_compression_bands(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    import corpus_pipeline
+
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
