@@ -1 +1 @@
-"""Package part."""
+"""Scalar functions: record, list and number grammars as Column expressions."""

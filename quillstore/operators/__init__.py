@@ -1 +1 @@
-"""Package part."""
+"""Operators on pairs and snapshots: load, lookup, dictionary, statistics and comparison."""

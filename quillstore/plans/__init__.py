@@ -1 +1 @@
-"""Package part."""
+"""Plans: building, publishing and opening snapshots."""

@@ -1 +1 @@
-"""Package part."""
+"""Sources: record files, typed text, settings, remote files and the binary format."""

@@ -1 +1 @@
-"""Package part."""
+"""Refresh: following a pointer, downloading new versions, swapping views."""
