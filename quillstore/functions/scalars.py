@@ -231,4 +231,4 @@ def wrap32(value) -> Column:
 
 def power_of_two_at_least(value) -> Column:
     v = col(value).cast("bigint")
-    return F.when(v <= 1, F.lit(1).cast("bigint")).otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.length(F.bin(v - 1))))
+    return F.when(v <= 1, F.lit(1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(v - 1))))
