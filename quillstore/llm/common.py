@@ -49,3 +49,20 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+def filter_rows(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, for which ``verdicts`` (text column of a batch to booleans) is true.
+
+    Columns may have any names: they are numbered on the way through Python."""
+    import pyarrow as pa
+
+    names = docs.columns
+    at = names.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from .common import filter_rows
 
 #: Upper byte bound of a band, least and greatest ratio of raw to compressed bytes of a whole text.
 #: Short texts cannot be judged by a low ratio: the frame of a compressed text alone takes some bytes.
@@ -133,10 +134,4 @@ def compression_bands(docs: DataFrame, limits: Limits | None = None, id_col: str
 def keep_compressible(docs: DataFrame, limits: Limits | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text is kept; columns may have any names."""
     limits = limits or Limits()
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(measure(batch.column(at), limits)["kept"]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, text_col, lambda column: measure(column, limits)["kept"])

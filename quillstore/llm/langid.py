@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import filter_rows
 
 #: First code points of script ranges, and the script that starts there.
 SCRIPTS = (
@@ -265,15 +266,12 @@ def spans(docs: DataFrame, model: Model, options: Options | None = None, id_col:
 def keep_identified(docs: DataFrame, model: Model, options: Options | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose language can be told."""
     shared = _shared(docs, model, options or Options())
-    at = docs.columns.index(text_col)
 
-    def run(batches):
+    def verdicts(column):
         model, options = _open(shared)
-        for batch in batches:
-            known = [x != "und" for _, texts in _groups(batch.column(at)) for x in predict(texts, model, options)[0]]
-            yield batch.filter(pa.array(known, pa.bool_()))
+        return [x != "und" for _, texts in _groups(column) for x in predict(texts, model, options)[0]]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, text_col, verdicts)
 
 
 def held_out(id_col: str = "doc_id"):
