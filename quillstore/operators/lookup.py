@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import scalars as S
-from ..types import CacheKind
+from ..types import PAYLOAD_COLUMNS, CacheKind
 
 #: Largest probe side, in bytes, that is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -22,8 +22,11 @@ def lookup(probes: DataFrame, snapshot: DataFrame, key: str = "key", rows: int |
     """One row per probe: its columns, ``exists`` and the canonical payload, null when the key is absent.
 
     rows: a known upper bound of the number of probes; under the limit, matches are found with the probes broadcast
-    and only those are joined back, so the snapshot is not shuffled.
+    and only those are joined back, so the snapshot is not shuffled.  Probe columns that are named like a payload
+    column get the prefix ``probe_``.
     """
+    for c in set(probes.columns) & {"vtype", "exists", *PAYLOAD_COLUMNS}:
+        probes = probes.withColumnRenamed(c, f"probe_{c}")
     right = snapshot.select(F.col("key").alias("__key"), "vtype", *(c for c in snapshot.columns if c not in ("key", "query_id", "vtype")))
     k = probes[key].cast("binary")
     if rows is not None and rows * (key_bytes + ROW_BYTES) <= BROADCAST_BYTES:

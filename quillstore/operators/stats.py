@@ -65,7 +65,7 @@ def comparison(scanned: Column | str = "value") -> Column:
 
 def compare(scanned: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Rows (key, value) of a source with their status against a snapshot."""
-    return L.lookup(scanned, snapshot).select("key", "value", comparison().alias("status"))
+    return L.lookup(scanned.select("key", "value"), snapshot).select("key", "value", comparison().alias("status"))
 
 
 def comparison_counts(compared: DataFrame) -> DataFrame:
