@@ -17,10 +17,10 @@ in signatures and expected false candidates.  Groups with next to no elements
 say little; a set leaves such signatures out as long as the units that it
 leaves out stay within an allowance by which the units exceed H + 1.
 
-Candidates are compared with the least member of their signature first, then,
-where a signature still joins different components, all pairs between these.
-A parity sketch gives a lower bound of the difference inside the join itself,
-and what passes is verified on the sets.  Nothing is sampled or capped.
+Candidates are compared with the least member of their signature, its hub, first;
+then, where different components are left around a hub, pairs across these, in
+blocks.  A parity sketch gives a lower bound of the difference before anything is
+emitted, and what passes is verified on the sets.  Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -41,19 +41,27 @@ EXACT, SUBSET, DELETION = 0, 1, 2
 
 @dataclass(frozen=True)
 class Options:
-    """k: words of an n-gram; num, den: the least similarity, num / den; band_ratio: of a band's largest to its least
-    size; hit_rate: assumed chance that two unrelated sets share a given element; verify_cost, compare_cost: cost
-    of verifying and of comparing the sketches of a candidate pair, in signatures; filter_bits: size of the bit table
-    that keeps unshared signatures out of the second pass (a power of two)."""
+    """k: words of an n-gram; num, den: the least similarity, num / den; hit_rate: assumed chance that two unrelated
+    sets share a given element; common_share: assumed share of elements that any other set has; verify_cost,
+    compare_cost: cost of verifying and of comparing the sketches of a candidate pair, in signatures; filter_bits: size
+    of the bit table that keeps unshared signatures out of the second pass (a power of two); block: most sets of one
+    side that are compared in one task."""
 
     k: int = 3
     num: int = 90
     den: int = 100
-    band_ratio: float = 1.3
     hit_rate: float = 0.002
     verify_cost: float = 3.0
-    compare_cost: float = 0.02
+    compare_cost: float = 0.002
+    common_share: float = 0.1
     filter_bits: int = 1 << 27
+    block: int = 2048
+
+    @property
+    def band_ratio(self) -> float:
+        """Of a band's largest to its least size: wide against the ratio of similar sets' sizes, as a set near a bound
+        has the signatures of two bands."""
+        return 1 + 4 * (self.den - self.num) / self.den
 
 
 @dataclass(frozen=True)
@@ -118,7 +126,7 @@ def allocate(low: int, high: int, rows: int, options: Options) -> Band:
                 def price(chance):
                     """Of one signature: its row, its pair with the least member, its pairs with all others."""
                     others = rows * chance
-                    return 1 + options.verify_cost * min(1.0, others) + options.compare_cost * others
+                    return 1 + options.verify_cost * min(options.common_share, others) + options.compare_cost * others
 
                 cost = single * price(_hits(s, small, q))
                 cost += 3 * groups * price(_hits(4 * s / 3, small, q)) if kind == SUBSET else groups * (2 * s + 1) * price(_hits(2 * s, small + 1, q) / q)
@@ -234,8 +242,8 @@ def _band_signatures(elements, first, n, rows, b: int, band: Band):
 
 
 def sketch_words(n: int, options: Options) -> int:
-    """64-bit words of the parity sketch of a set of n elements: a power of two, about 12 bits per allowed difference."""
-    return 1 << max(0, math.ceil(math.log2(max(1, 12 * difference(2 * n, options)) / 64)))
+    """64-bit words of the parity sketch of a set of n elements: a power of two, at least 16 bits per allowed difference."""
+    return 1 << max(0, math.ceil(math.log2(max(1, 16 * difference(2 * n, options)) / 64)))
 
 
 def sketch(elements: np.ndarray, words: int) -> np.ndarray:
@@ -244,25 +252,42 @@ def sketch(elements: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bit.astype(np.uint8), bitorder="little").view("<i8")
 
 
-SLIM = "doc_id {id}, doc_key long, n long, set_a long, set_b long, sketch array<long>, sigs array<long>"
+SLIM = "doc_id {id}, doc_key long, n long, set_a long, set_b long, sketch array<long>"
+
 
+def _names(elements: np.ndarray, bound: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit name of each set: the sum of its mixed elements."""
+    c = np.concatenate((np.zeros(1, K.U), np.cumsum(K.splitmix(elements ^ K.U(seed)), dtype=K.U)))
+    return (c[bound[1:]] - c[bound[:-1]]).view(np.int64)
 
-def encode(docs: DataFrame, plan: list[Band], options: Options) -> DataFrame:
-    """Per document of (doc_id, doc_key, text): the size, a 128-bit name, a sketch and the signatures of its set."""
+
+def signature_rows(docs: DataFrame, plan: list[Band], options: Options) -> DataFrame:
+    """(set_a, sigs) per document: half the name and the signatures of its set.  They are computed where they are
+    used, twice, as they would take more space than the texts."""
 
     def run(batches):
         for batch in batches:
-            data, offsets, _ = K.utf8_column(batch.column(2))
+            data, offsets, _ = K.utf8_column(batch.column(0))
             for a, b in K.chunks(offsets):
                 elements, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], options.k)
                 bound = np.concatenate(([0], np.cumsum(n)))
-                names = []
-                for seed in (1, 2):
-                    c = np.concatenate((np.zeros(1, K.U), np.cumsum(K.splitmix(elements ^ K.U(seed)), dtype=K.U)))
-                    names.append((c[bound[1:]] - c[bound[:-1]]).view(np.int64))
                 sig, of = signatures(elements, n, plan, options)
                 order = np.argsort(of, kind="stable")
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=b - a)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(_names(elements, bound, 1)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(sig[order].view(np.int64)))], names=["set_a", "sigs"])
+
+    return docs.select("text").mapInArrow(run, "set_a long, sigs array<long>")
+
+
+def encode(docs: DataFrame, options: Options) -> DataFrame:
+    """Per document of (doc_id, doc_key, text): the size, a 128-bit name and a sketch of its set."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets, _ = K.utf8_column(batch.column(2))
+            for a, b in K.chunks(offsets):
+                elements, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], options.k)
+                bound = np.concatenate(([0], np.cumsum(n)))
                 sketches = [sketch(elements[bound[i] : bound[i + 1]], sketch_words(int(n[i]), options)) for i in range(b - a)]
                 at = np.concatenate(([0], np.cumsum([len(x) for x in sketches]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -270,11 +295,11 @@ def encode(docs: DataFrame, plan: list[Band], options: Options) -> DataFrame:
                         batch.column(0).slice(a, b - a),
                         batch.column(1).slice(a, b - a),
                         pa.array(n),
-                        *map(pa.array, names),
+                        pa.array(_names(elements, bound, 1)),
+                        pa.array(_names(elements, bound, 2)),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(sig[order].view(np.int64))),
                     ],
-                    names=["doc_id", "doc_key", "n", "set_a", "set_b", "sketch", "sigs"],
+                    names=["doc_id", "doc_key", "n", "set_a", "set_b", "sketch"],
                 )
 
     return docs.mapInArrow(run, SLIM.format(id=docs.dtypes[0][1]))
@@ -357,6 +382,79 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _close_pairs(row, root, n, sketches, left: np.ndarray, right: np.ndarray, same: bool, options: Options, tile: int = 256):
+    """(a, b) of rows in left x right (or pairs in left) of different roots whose sketches allow a link."""
+    for x in range(0, len(left), tile):
+        p = left[x : x + tile]
+        for y in range(x if same else 0, len(right), tile):
+            q = right[y : y + tile]
+            small, large = np.minimum(n[p][:, None], n[q]), np.maximum(n[p][:, None], n[q])
+            open_ = (root[p][:, None] != root[q]) & (small * options.den >= large * options.num)
+            if same and x == y:
+                open_ &= np.arange(len(p))[:, None] < np.arange(len(q))
+            i, j = np.nonzero(open_)
+            for at in range(0, len(i), 1 << 15):
+                u, v = p[i[at : at + (1 << 15)]], q[j[at : at + (1 << 15)]]
+                words = np.minimum(sketches["size"][u], sketches["size"][v])
+                most = (n[u] + n[v]) * (options.den - options.num) // (options.den + options.num)
+                for w in np.unique(words):
+                    k = np.flatnonzero(words == w)
+                    a, b = sketches[int(w)], sketches[int(w)]
+                    bits = np.bitwise_count(a[0][a[1][u[k]]] ^ b[0][b[1][v[k]]]).sum(1, dtype=np.int64)
+                    ok = k[bits <= most[k]]
+                    yield row[u[ok]], row[v[ok]]
+
+
+def _at_widths(lists: pa.Array) -> dict:
+    """Sketches of a column as matrices: for each width w those of w and of 2 w words, the latter folded."""
+    flat, size = np.asarray(lists.flatten()).view(K.U), np.asarray(lists.value_lengths()).astype(np.int64)
+    first = np.cumsum(size) - size
+    out: dict = {"size": size}
+    for w in np.unique(size):
+        place = np.full(len(size), -1)
+        own, double = np.flatnonzero(size == w), np.flatnonzero(size == 2 * w)
+        place[own], place[double] = np.arange(len(own)), len(own) + np.arange(len(double))
+        parts = [flat[first[own][:, None] + np.arange(w)]]
+        if len(double):
+            parts.append(flat[first[double][:, None] + np.arange(w)] ^ flat[first[double][:, None] + w + np.arange(w)])
+        out[int(w)] = (np.concatenate(parts), place)
+    return out
+
+
+def across(labelled: DataFrame, options: Options) -> DataFrame:
+    """Pairs (a, b) of rows around a common hub (hub, row, n, sketch, root), of different roots, that may link.
+
+    Rows around a hub are cut into blocks, each pair of blocks is a task of bounded size, and small hubs share tasks.
+    Only the pairs that pass leave a task.
+    """
+    spread = labelled.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
+    spread = cut(spread.select("hub", F.ceil(F.col("size") / options.block).cast("int").alias("blocks"), "size"))
+    tasks = max(1, (spread.agg(F.sum("size")).first()[0] or 0) // (2 * options.block))
+    rows = labelled.join(spread.drop("size"), "hub").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    alone = rows.where("blocks = 1").select(F.pmod(F.xxhash64("hub"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "hub", "own", "row", "n", "root", "sketch")
+    paired = rows.where("blocks > 1").withColumn("with", other).select(F.col("hub").alias("task"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "hub", "own", "row", "n", "root", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = lambda c: np.asarray(table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c))
+        hub, own, row, root, n, i, j = (column(c) for c in ("hub", "own", "row", "root", "n", "i", "j"))
+        lists = table.column("sketch").combine_chunks()
+        sketches = _at_widths(lists if isinstance(lists, pa.Array) else lists.chunk(0))
+        found = []
+        if i[0] >= 0 and i[0] != j[0]:
+            found += _close_pairs(row, root, n, sketches, np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]), False, options)
+        else:
+            order = np.argsort(hub, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
+                found += _close_pairs(row, root, n, sketches, part, part, True, options)
+        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return alone.unionByName(paired).groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _shared_only(rows: DataFrame, shared: DataFrame, options: Options) -> DataFrame:
     """(cls, sig) of the rows' signatures that are, or may be, in ``shared``: a fixed-size bit table is built from
     these (one number per 64 bits at most reaches the driver) and tested before anything is shuffled."""
@@ -402,15 +500,16 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     options = options or Options()
     slim = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("doc_key"), docs[text_col].alias("text"))
     plan = bands(max(1, docs.count()), largest, options)
-    rows = cut(encode(slim, plan, options).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(encode(slim, options).withColumn("row", F.monotonically_increasing_id()))
     one = F.min(F.struct("row", "doc_id", "doc_key", "sketch")).alias("one")
     classes = cut(rows.where("n > 0").groupBy("set_a", "set_b", "n").agg(one).select("set_a", "set_b", "n", F.col("one.row").alias("rep"), "one.doc_id", "one.doc_key", "one.sketch"))
     facts = classes.select(F.col("set_a").alias("cls"), F.col("rep").alias("row"), "n", "sketch")
 
     # A set goes by half of its name here; should two sets share it, both are looked at.
-    exploded = rows.select(F.col("set_a").alias("cls"), F.explode("sigs").alias("sig"))
+    signed = signature_rows(slim, plan, options)
+    exploded = signed.select(F.col("set_a").alias("cls"), F.explode("sigs").alias("sig"))
     shared = cut(exploded.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sig", "hub"))
-    members = cut(_shared_only(rows, shared, options).distinct().join(shared, "sig"))
+    members = cut(_shared_only(signed, shared, options).distinct().join(shared, "sig"))
 
     def verified(pairs):
         ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -424,34 +523,30 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     star = cut(candidates.join(b, "b_cls").join(a, "a_cls").where(near).select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct())
     links = verified(star)
     roots = components(links)
-    # Signatures that still hold several components: compare across them.
-    labelled = members.select("sig", "cls").join(facts, "cls").join(roots, "row", "left").select("sig", "row", "n", "sketch", F.coalesce("root", "row").alias("root"))
+    # Hubs around which several components are left: compare across these.
+    labelled = members.select("hub", "cls").distinct().join(facts, "cls").join(roots, "row", "left").select("hub", "row", "n", "sketch", F.coalesce("root", "row").alias("root"))
     if all_links:
         labelled = labelled.withColumn("root", F.col("row"))
-    spread = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
-    rest = labelled.join(spread.where("lo <> hi and size > 2").select("sig"), "sig", "left_semi")
-    a = rest.select("sig", *(F.col(c).alias(f"a_{c}") for c in ("row", "root", "n", "sketch")))
-    b = rest.select(F.col("sig").alias("b_sig"), *(F.col(c).alias(f"b_{c}") for c in ("row", "root", "n", "sketch")))
-    across = a.join(b, (F.col("sig") == F.col("b_sig")) & (F.col("a_row") < F.col("b_row")) & (F.col("a_root") != F.col("b_root")) & near)
-    more = cut(across.select(F.col("a_row").alias("a"), F.col("b_row").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    more = cut(across(cut(labelled), options).distinct().join(star, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(verified(more))
         roots = components(links)
-    return Joined(rows.drop("sigs", "sketch"), classes.select("set_a", "set_b", "n", "rep"), links, roots)
+    return Joined(rows.drop("sketch"), classes.select("set_a", "set_b", "n", "rep"), links, roots)
 
 
 def component_rows(joined: Joined) -> DataFrame:
     """One row per document: doc_id, doc_key, row, n_shingles, component_id (least doc_id of its component) and keep
     (true for one document of each component: that with the least doc_id, ties broken by text and row)."""
-    rows = joined.rows
-    known = joined.classes.join(joined.roots.withColumnRenamed("row", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("root", "rep").alias("root"))
-    own = rows.where("n > 0").join(known, ["set_a", "set_b", "n"]).select("doc_id", "doc_key", "row", "n", "root")
-    alone = rows.where("n = 0").select("doc_id", "doc_key", "row", "n", (-1 - F.col("row")).alias("root"))
-    every = own.unionByName(alone)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), F.col("row").alias("row")))
-    least = every.groupBy("root").agg(first.alias("first"))
-    out = every.join(least, "root")
-    return out.select("doc_id", "doc_key", "row", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("keep"))
+    rows, key = joined.rows, ["set_a", "set_b", "n"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), F.col("row").alias("row"))).alias("first")
+    # By class first, so that copies are summed up where they are read and a component has one row per class.
+    by_class = rows.where("n > 0").groupBy(*key).agg(first)
+    rooted = by_class.join(joined.classes, key).join(joined.roots.withColumnRenamed("row", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"), "first")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    known = rooted.join(least, "root").select(*key, "least")
+    linked = rows.where("n > 0").join(known, key).select("doc_id", "doc_key", "row", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("keep"))
+    alone = rows.where("n = 0").select("doc_id", "doc_key", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
+    return linked.unionByName(alone)
 
 
 def one_per_component(docs: DataFrame, options: Options | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
