@@ -100,39 +100,86 @@ def word_scripts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return of[np.searchsorted([c for c, _ in SCRIPTS], points[starts], side="right") - 1]
 
 
+#: Words of a segment in best_paths.
+SEGMENT = 64
+
+
 def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, cost: float) -> np.ndarray:
-    """Viterbi labels of all words.  Texts advance side by side; scores: words x languages; first, count: of each text."""
-    labels = np.zeros(len(scores), np.int64)
-    order = np.argsort(-count, kind="stable")
-    first, count = first[order], count[order]
-    n = int((count > 0).sum())
-    if not n:
+    """Viterbi labels of all words.  scores: words x languages; first, count: of each text.
+
+    Texts are cut into segments that advance side by side: first each segment's best score from any state before it to
+    any state at its end, then the states at all cuts from segment to segment, then the paths inside.  A long text thus
+    takes as many steps as it has segments, not words.
+    """
+    n, k = scores.shape
+    labels = np.zeros(n, np.int64)
+    parts = -(-count // SEGMENT)
+    total = int(parts.sum())
+    if not total:
         return labels
-    first, count = first[:n], count[:n]
-    back = np.zeros(scores.shape, np.int8)
-    state = scores[first].copy()
-    active = n
-    final = np.zeros(n, np.int64)
-    for t in range(1, int(count[0]) + 1):
-        still = int(np.searchsorted(-count, -t, side="left"))  # texts with more than t words
-        if still < active:
-            final[still:active] = state[still:active].argmax(1)
-            active = still
-        if not active:
+    text = np.repeat(np.arange(len(count)), parts)
+    at = np.arange(total) - np.repeat(np.cumsum(parts) - parts, parts)  # number of a segment in its text
+    start = first[text] + at * SEGMENT
+    size = np.minimum(SEGMENT, count[text] - at * SEGMENT)
+    order = np.argsort(-size, kind="stable")  # the segments with more than t words come first
+    start, size = start[order], size[order]
+    active = [int(np.searchsorted(-size, -t, side="left")) for t in range(SEGMENT + 1)]
+    place = np.empty(total, np.int64)
+    place[order] = np.arange(total)
+
+    def step(state):
+        """(scores before the next word, whether each state is kept, the best state)."""
+        best = state.argmax(-1)
+        jump = np.take_along_axis(state, best[..., None], -1) - cost
+        stay = state >= jump
+        return np.where(stay, state, jump), stay, best
+
+    through = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, -cost), (total, k, k)).copy()
+    for t in range(SEGMENT):
+        m = active[t]
+        if not m:
+            break
+        before = through[:m] if t == 0 else step(through[:m])[0]
+        through[:m] = before + scores[start[:m] + t][:, None, :]
+    # From cut to cut; texts with more segments first.
+    by = np.argsort(-parts, kind="stable")
+    head = np.cumsum(parts) - parts
+    alive = [int(np.searchsorted(-parts[by], -j, side="left")) for j in range(int(parts.max()) + 1)]
+    enter = np.zeros((total, k))
+    state = np.zeros((len(count), k))
+    for j in range(int(parts.max())):
+        own = by[: alive[j]]
+        seg = place[head[own] + j]
+        enter[seg] = state[own]
+        state[own] = (state[own][:, :, None] + through[seg]).max(1)
+    # Inside, with back pointers.
+    back = np.zeros((n, k), np.int8)
+    inner = enter.copy()
+    states = np.arange(k)
+    for t in range(SEGMENT):
+        m = active[t]
+        if not m:
             break
-        state = state[:active]
-        best = state.argmax(1)
-        jump = state[np.arange(active), best] - cost
-        stay = state >= jump[:, None]
-        at = first[:active] + t
-        back[at] = np.where(stay, np.arange(scores.shape[1]), best[:, None])
-        state = np.where(stay, state, jump[:, None]) + scores[at]
-    current = final
-    for t in range(int(count[0]) - 1, -1, -1):
-        k = int(np.searchsorted(-count, -t, side="left"))
-        at = first[:k] + t
-        labels[at] = current[:k]
-        current[:k] = back[at, current[:k]]
+        moved, stay, best = step(inner[:m])
+        word = start[:m] + t
+        back[word] = np.where(stay, states, best[:, None])
+        inner[:m] = moved + scores[word]
+    origin = np.broadcast_to(states, (total, k)).copy()  # state before a segment, by the state at its end
+    for t in range(SEGMENT - 1, -1, -1):
+        m = active[t]
+        origin[:m] = np.take_along_axis(back[start[:m] + t].astype(np.int64), origin[:m], 1)
+    end = np.zeros(total, np.int64)
+    current = inner[place[np.maximum(head + parts - 1, 0) % total]].argmax(1)
+    for j in range(int(parts.max()) - 1, -1, -1):
+        own = by[: alive[j]]
+        seg = place[head[own] + j]
+        end[seg] = current[own]
+        current[own] = origin[seg, current[own]]
+    for t in range(SEGMENT - 1, -1, -1):
+        m = active[t]
+        word = start[:m] + t
+        labels[word] = end[:m]
+        end[:m] = back[word, end[:m]]
     return labels
 
 
