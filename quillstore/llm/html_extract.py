@@ -26,10 +26,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements, and words of class, id or role, that say what is not main text.
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies discussion disqus footer form gdpr header "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion disqus footer form gdpr header "
     "login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription teaser toolbar topbar warning widget widgets".split()
 )
+#: Of these, words that say nothing inside main text.
+PART_WORDS = frozenset("header masthead teaser".split())
 RELATIONS = frozenset("has with no without".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
@@ -41,8 +43,8 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 FEATURES = ("boilerplate", "main", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after", "page_has_main")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element says by name, class, id or role that it is boilerplate, or main text."""
+def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """Whether an element says by name, class, id or role that it is boilerplate, or main text; inside: of main text."""
     bad, good = tag in BOILERPLATE_TAGS, tag in MAIN_TAGS
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
@@ -52,7 +54,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
             elif name in ("class", "id", "role"):
                 names = [{w.lower() for w in WORDS.findall(v)} for v in value.split()]
                 said = set().union(*(n for n in names if n.isdisjoint(RELATIONS)))  # "has-sidebar" is about something inside
-                bad |= not said.isdisjoint(BOILERPLATE_WORDS)
+                bad |= not (said - PART_WORDS if inside else said).isdisjoint(BOILERPLATE_WORDS)
                 good |= not said.isdisjoint(MAIN_WORDS)
     return bad, good
 
@@ -122,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                     stack.pop()
                     look()
             elif attributes and not attributes.isspace():
-                b, _ = _marks(tag, attributes)
+                b, _ = _marks(tag, attributes, good)
                 if b:
                     close()
                     stack.append([tag, True, good])
@@ -148,9 +150,9 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             elif stack and stack[-1][0] == "p":
                 stack.pop()
             look()
-            b, g = _marks(tag, attributes)
+            b, g = _marks(tag, attributes, good)
             if tag == "header" and good:
-                b = False  # the head of the article itself
+                b = _marks("div", attributes, good)[0]  # the head of the article itself
             if tag in ("body", "html"):
                 b = False
             stack.append([tag, bad or b, (good or g) and not b])

@@ -218,6 +218,7 @@ CASES = {
     f"<body><div class='cookie-notice'>We use cookies</div><article><p>a&nbsp;b\n c</p><script>var t='</p>';</script><!-- <p>no</p> --><p>d</article><footer>f</footer>": "a b c\n\nd",
     f"<div><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div><div><h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></div><div>Legal <a>about</a> <a>terms</a></div>": f"Title of it\n\n{LONG}\n\n{LONG}",
     "<article><p>a < b and c > d</p><p>cut <b": "a < b and c > d\n\ncut",
+    f"<article class=post><div class='entry-header'><h1>T</h1><p class=teaser>Lead</p></div><p>{LONG}</p><p class='notice'>N</p><div class='ad-box'>Buy</div></article>": f"T\n\nLead\n\n{LONG}",
     "plain": "plain",
     "": "",
     None: "",
