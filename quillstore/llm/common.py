@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +23,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillstore-checkpoints"))
 
 
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have 8 MB at most (a longer row is alone): long texts would else fill a
+    Python worker, as batches are bounded by rows first."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", spark.conf.get(key).lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0) > ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a slim frame in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def text_key(text="text"):
-    """64-bit hash of a text (null and empty are distinct)."""
-    return F.xxhash64(F.col(text), F.col(text).isNull())
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of plans that have been cut: it waits for the driver's garbage
+    collection, which a driver with little to do may not come to for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 # Largest table, in bytes as Spark estimates or as the caller has proved, that may be broadcast.
@@ -57,6 +69,7 @@ def filter_rows(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
     Columns may have any names: they are numbered on the way through Python."""
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))

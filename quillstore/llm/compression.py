@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .common import filter_rows
+from .common import bounded_batches, filter_rows
 
 #: Upper byte bound of a band, least and greatest ratio of raw to compressed bytes of a whole text.
 #: Short texts cannot be judged by a low ratio: the frame of a compressed text alone takes some bytes.
@@ -119,6 +119,7 @@ def compression_bands(docs: DataFrame, limits: Limits | None = None, id_col: str
     base rules; repeated rows are judged alike; an empty table gives an empty result.
     """
     limits = limits or Limits()
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches):

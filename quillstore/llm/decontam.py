@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut
+from .common import bounded_batches, cut
 
 SEGMENT = "doc_ids {id}, doc_keys array<long>, n_words array<long>, terms array<int>, counts array<int>, postings binary"
 
@@ -163,17 +163,17 @@ def find_windows(windows: np.ndarray, terms: np.ndarray, counts: np.ndarray, pos
     return w, s
 
 
-RESULT = "doc_id {id}, doc_key long, n_words long, hits binary, items array<int>, near_items array<int>"
+RESULT = "doc_id {id}, doc_key long, n_words long, n_hit long, hits binary, items array<string>, near_items array<string>"
 
 
 def search(index: DataFrame, block: TestSet, slack: int = 3) -> DataFrame:
-    """Per document of the index: n_words, its hit words as packed bits, and the numbers of the block's items that
-    have an exact occurrence (items) or only one within the slack (near_items)."""
-    shared = index.sparkSession.sparkContext.broadcast(pickle.dumps((block.windows, block.item_of, block.window_of, len(block.items))))
+    """Per document of the index: n_words, n_hit, its hit words as packed bits, and the ids, as sorted strings, of the
+    block's items that have an exact occurrence (items) or only one within the slack (near_items)."""
+    shared = index.sparkSession.sparkContext.broadcast(pickle.dumps((block.windows, block.item_of, block.window_of, [str(i) for i in block.items])))
     kind = dict(index.dtypes)["doc_ids"][6:-1]
 
     def run(batches):
-        windows, item_of, window_of, _ = pickle.loads(shared.value)
+        windows, item_of, window_of, names = pickle.loads(shared.value)
         by_window = np.argsort(window_of, kind="stable")
         bound = np.searchsorted(window_of[by_window], np.arange(len(windows) + 1))
         length = (windows >= 0).sum(1)
@@ -211,16 +211,21 @@ def search(index: DataFrame, block: TestSet, slack: int = 3) -> DataFrame:
                     known = np.isin(near[:, 0] * (1 << 32) + near[:, 1], exact[:, 0] * (1 << 32) + exact[:, 1])
                     near = near[~known]
                 some = set(exact[:, 0].tolist())
-                lists = [np.split(x[:, 1].astype(np.int32), np.searchsorted(x[:, 0], np.arange(1, n))) for x in (exact, near)]
+                lists = [[[] for _ in range(n)] for _ in range(2)]
+                for out, found in zip(lists, (exact, near), strict=True):
+                    for d, item in found.tolist():
+                        out[d].append(names[item])
+                hits = [hit[first[d] : first[d + 1] - 1] if d in some else hit[:0] for d in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
                         keys,
                         pa.array(n_words),
-                        pa.array([np.packbits(hit[first[d] : first[d + 1] - 1]).tobytes() if d in some else b"" for d in range(n)], pa.binary()),
-                        *(pa.array(x[:n], pa.list_(pa.int32())) for x in lists),
+                        pa.array([int(h.sum()) for h in hits], pa.int64()),
+                        pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()),
+                        *(pa.array([sorted(x) for x in out], pa.list_(pa.string())) for out in lists),
                     ],
-                    names=["doc_id", "doc_key", "n_words", "hits", "items", "near_items"],
+                    names=["doc_id", "doc_key", "n_words", "n_hit", "hits", "items", "near_items"],
                 )
 
     return index.mapInArrow(run, RESULT.format(id=kind))
@@ -237,31 +242,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slack: in
     Repeated rows each get a row.  Items are read in blocks of ``block_bytes``; one block is the common case, further
     blocks cost one more pass each and are joined by document.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("doc_key"), docs[text_col].alias("text"))
     kind = slim.dtypes[0][1]
-    found = []
-    for block in blocks(items.select(items[item_col], items[item_text_col]), window, block_bytes):
-        index = cut(build_index(slim, block.vocabulary))
-        names = [str(i) for i in block.items]
-        result = search(index, block, slack)
-
-        def named(batches, names=names):
-            for batch in batches:
-                lists = [[sorted(names[i] for i in x) for x in batch.column(c).to_pylist()] for c in (4, 5)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(x, pa.list_(pa.string())) for x in lists)], names=batch.schema.names)
-
-        found.append(result.mapInArrow(named, RESULT.format(id=kind).replace("array<int>", "array<string>")))
+    found = [search(cut(build_index(slim, b.vocabulary)), b, slack) for b in blocks(items.select(items[item_col], items[item_text_col]), window, block_bytes)]
     if not found:
         found = [search(build_index(slim, np.zeros(0, K.U)), encode_items([], window), slack)]
-        found = [found[0].withColumn("items", F.col("items").cast("array<string>")).withColumn("near_items", F.col("near_items").cast("array<string>"))]
-
-    def bits(batches):
-        for batch in batches:
-            n = [sum(map(int.bit_count, x)) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), *batch.columns[4:]], names=["doc_id", "doc_key", "n_words", "n_hit", "items", "near_items"])
-
     if len(found) == 1:
-        return found[0].mapInArrow(bits, REPORT.format(id=kind))
+        return found[0].drop("hits")
     merged = found[0]
     for other in found[1:]:
         merged = merged.unionByName(other)

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Elements that begin and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol "
@@ -265,6 +267,7 @@ def extract(pages: DataFrame, tree=None, id_col: str = "page_id", url_col: str =
     """One row per page: page_id, url, text, n_chars.  Narrow; a null or empty page gives an empty text; repeated
     rows are handled each."""
     tree = grow(*labelled_table()) if tree is None else tree
+    bounded_batches(pages.sparkSession)
     slim = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     kinds = dict(slim.dtypes)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import filter_rows
+from .common import bounded_batches, filter_rows
 
 #: First code points of script ranges, and the script that starts there.
 SCRIPTS = (
@@ -213,6 +213,7 @@ def fit(labelled: DataFrame, options: Options | None = None) -> Model:
     """A model from rows (doc_id, text, lang) with a language and a text: the ``max_rows`` rows with the least hash of
     doc_id, in whole.  Counts are summed by executors; the driver gets the hashed counts only."""
     options = options or Options()
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     pick = F.xxhash64(F.col("doc_id"))
     edge = rows.select(pick.alias("h")).orderBy("h").limit(options.max_rows).agg(F.max("h")).first()[0]
@@ -258,6 +259,7 @@ def predict(texts: list[str], model: Model, options: Options) -> tuple[list[str]
 
 
 def _shared(docs: DataFrame, model: Model, options: Options):
+    bounded_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.languages, model.weights, model.allowed, options)))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut
+from .common import bounded_batches, cut, release
 
 EXACT, SUBSET, DELETION = 0, 1, 2
 
@@ -498,6 +498,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     ids may repeat or be null.
     """
     options = options or Options()
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("doc_key"), docs[text_col].alias("text"))
     plan = bands(max(1, docs.count()), largest, options)
     rows = cut(encode(slim, options).withColumn("row", F.monotonically_increasing_id()))
@@ -509,6 +510,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     signed = signature_rows(slim, plan, options)
     exploded = signed.select(F.col("set_a").alias("cls"), F.explode("sigs").alias("sig"))
     shared = cut(exploded.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sig", "hub"))
+    release(docs.sparkSession)
     members = cut(_shared_only(signed, shared, options).distinct().join(shared, "sig"))
 
     def verified(pairs):
@@ -521,8 +523,10 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     near = may_link(F.col("a_sketch"), F.col("a_n"), F.col("b_sketch"), F.col("b_n"), options)
     candidates = members.where("cls <> hub").select(F.col("hub").alias("a_cls"), F.col("cls").alias("b_cls")).distinct()
     star = cut(candidates.join(b, "b_cls").join(a, "a_cls").where(near).select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct())
+    release(docs.sparkSession)
     links = verified(star)
     roots = components(links)
+    release(docs.sparkSession)
     # Hubs around which several components are left: compare across these.
     labelled = members.select("hub", "cls").distinct().join(facts, "cls").join(roots, "row", "left").select("hub", "row", "n", "sketch", F.coalesce("root", "row").alias("root"))
     if all_links:

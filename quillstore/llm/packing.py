@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import encoder
+from .common import bounded_batches
 from .numbering import PART, ROW, fix_rows, number
 
 
@@ -126,6 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, w
     Each id of each document (its text's ids, then end_id) lies in exactly one piece; sequences are numbered from 0
     and hold at most ``window`` ids.  Repeated rows are packed each; an empty table gives no pieces.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     pieces = fix_rows(token_pieces(slim, tokenizer, window, end_id, with_ids))
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``window`` rows

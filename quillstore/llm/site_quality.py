@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut
+from .common import bounded_batches, cut
 from .compression import Limits, measure
 from .logistic import fit_softmax
 
@@ -84,6 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior_good:
 
 def score(docs: DataFrame, model: Classifier, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, host, path, log_odds of each document."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), docs[text_col].alias("text"))
 
     def run(batches):
