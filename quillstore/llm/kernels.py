@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -16,6 +17,15 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_quillstore_llm_cache", {})
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system: a worker that keeps what an earlier stage took is counted with the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x + U(0x9E3779B97F4A7C15)
@@ -26,6 +36,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, is-null) of a string column; a null has no bytes."""
+    trim_memory()
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)

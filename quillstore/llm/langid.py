@@ -198,8 +198,9 @@ def label_words(texts: list[str], model: Model, options: Options):
 
 def _groups(column: pa.Array, size: int = 1 << 19):
     """Lists of texts of bounded length, with the index of their first row; null is empty."""
+    K.trim_memory()
     at, texts, n = 0, [], 0
-    for i, t in enumerate(column.to_pylist()):
+    for i, t in enumerate(x.as_py() for x in column):
         texts.append(t or "")
         n += len(texts[-1])
         if n >= size:
@@ -207,6 +208,7 @@ def _groups(column: pa.Array, size: int = 1 << 19):
             at, texts, n = i + 1, [], 0
     if texts:
         yield at, texts
+    K.trim_memory()
 
 
 def fit(labelled: DataFrame, options: Options | None = None) -> Model:
