@@ -54,7 +54,7 @@ class Options:
     verify_cost: float = 3.0
     compare_cost: float = 0.002
     common_share: float = 0.1
-    filter_bits: int = 1 << 27
+    filter_bits: int = 1 << 25
     block: int = 2048
 
     @property
