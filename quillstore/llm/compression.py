@@ -3,7 +3,7 @@
 A text is kept when it passes two base rules (enough words, few words inside
 repeated 8-word windows) and when zstandard neither shrinks it too well
 (repetitive) nor too badly (incompressible) for its length.  The whole text is
-measured, and so is each fixed chunk of it.
+measured, and so is each fixed chunk of it, the shorter last one included.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ BANDS = (
 @dataclass(frozen=True)
 class Limits:
     """bands: limits by length; chunk_bytes: size of the fixed chunks; chunk_low, chunk_high: limits of a chunk's
-    ratio; bad_chunk_share: the share of whole chunks outside them from which a text is rejected;
+    ratio (a last chunk below that size has those of its length's band); bad_chunk_share: the share of a text's bytes in
+    chunks outside their limits from which it is rejected;
     level: of zstandard; min_words, max_repeat_pct, window: the base rules."""
 
     bands: tuple = BANDS
@@ -89,9 +90,12 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, limits: Limits, squeeze) -> di
         a, b = int(offsets[i]), int(offsets[i + 1])
         if b > a:
             ratio[i] = (b - a) / len(squeeze(raw[a:b]))
-        if whole := (b - a) // limits.chunk_bytes:
-            r = [limits.chunk_bytes / len(squeeze(raw[x : x + limits.chunk_bytes])) for x in range(a, a + whole * limits.chunk_bytes, limits.chunk_bytes)]
-            bad[i] = sum(not limits.chunk_low <= x <= limits.chunk_high for x in r) / whole
+            for x in range(a, b, limits.chunk_bytes):
+                size = min(limits.chunk_bytes, b - x)
+                low, high = (limits.chunk_low, limits.chunk_high) if size == limits.chunk_bytes else next((c, d) for n, c, d in limits.bands if size <= n)
+                got = ratio[i] if size == b - a else size / len(squeeze(raw[x : x + size]))
+                bad[i] += 0 if low <= got <= high else size
+            bad[i] /= b - a
     band = np.searchsorted([x[0] for x in limits.bands], np.diff(offsets))
     low, high = np.array([x[1] for x in limits.bands])[band], np.array([x[2] for x in limits.bands])[band]
     out |= {"ratio": ratio, "bad_chunk_share": bad}

@@ -287,3 +287,15 @@ def test_compression_rejects_both_ends(spark):
     loops = " ".join(f"{i % 9}loop{i % 5}" for i in range(400))
     got = compression.compression_bands(spark.createDataFrame([(1, noise), (2, plain), (3, loops)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.kept for r in got} == {1: False, 2: True, 3: False}
+
+
+def test_compression_covers_tails(spark):
+    rnd = random.Random(2)
+    stems = ["the", "house", "river", "under", "walked", "morning", "quiet", "letter", "stone", "answer", "garden", "window", "often", "with", "small", "many"]
+    english = lambda n: " ".join(rnd.choice(stems) + rnd.choice(["", "s", "ed", "ing"]) + rnd.choice([" a", " of", "", ","]) for _ in range(n))[:n]
+    noise = lambda n: "".join(chr(rnd.randint(0x21, 0x7E)) for _ in range(n))
+    plain, bad = english(4096), noise(4000)
+    texts = [plain + " " + bad, bad + " " + plain, plain + " " + "a" * 3900, plain + " " + english(3000), plain * 2 + " " + noise(300)]
+    got = {r.doc_id: r for r in compression.compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].bad_chunk_share > 0.2 for i in range(5)] == [True, True, True, False, False]
+    assert not any(got[i].kept for i in range(3))
