@@ -7,8 +7,8 @@ phrases and well-known sentences, and calibrated on a held-out part of it.  A
 predicted family counts as confirmed if enough of the paragraph's word 3-grams
 stand in one of the family's templates.
 
-Paragraphs are lines.  One without any anchor word (a word stem that licence
-notices cannot do without) has no evidence and is unknown.
+Paragraphs are lines.  Each one that the model could name is scored: one without
+any of the words that follow from its weights (``telling_words``) is unknown.
 """
 
 from __future__ import annotations
@@ -98,9 +98,15 @@ OTHERS = [
     "Redistribution of wealth was a subject of the debate.", "A copy of the certificate is attached.", "Public domain is a term that few people know.", "Free software is a matter of liberty.",
 ]
 
-#: Word stems, one of which each notice of the table has.
-ANCHORS = ["licen[sc]", "lizenz", "copyright", "warrant", "permission", "redistribut", "free software", "public domain", "spdx", "attribution", "creative commons", "all rights reserved"]
-ANCHOR = "(?i)(" + "|".join(ANCHORS) + ")"
+#: Ordinary paragraphs with words that also stand in names; "mit" is German for "with".
+ORDINARY = [
+    "Er kam mit dem Zug.", "Mit der Zeit wird es besser.", "Das ist mit uns so.", "Sie ging mit ihm und mit den Kindern nach Hause.", "Mit.", "Es war mit ein Grund.",
+    "She studied physics at MIT.", "Researchers at MIT have built a robot.", "The Apache helicopter landed.", "The Apache lived in the south.", "The general public was not invited.",
+    "Mozilla released a new version.", "A creative mind is common.", "The universal remote costs 4.0 dollars.", "Version 2.0 is faster than version 1.0.", "Under the terms of the treaty the border was moved.",
+    "The report is available under the link below.", "The film was released under pressure.", "A commercial agreement was signed.", "The foundation is free and open to any person.",
+]
+#: What a paragraph needs to have any evidence: a word.
+ANCHOR = "[^\\W_]"
 SPLIT = "[^\\p{L}\\p{N}.]+"
 
 
@@ -108,7 +114,7 @@ def table() -> list[tuple[str, str]]:
     """The labelled paragraphs (family, text)."""
     rows = [(f, p.format(n)) for f, names in NAMES.items() for n in names for p in PHRASES]
     rows += [(f, s) for f, sentences in SENTENCES.items() for s in sentences]
-    return rows + [(UNKNOWN, s) for s in OTHERS for _ in range(8)]
+    return rows + [(UNKNOWN, s) for s in OTHERS + ORDINARY for _ in range(8)]
 
 
 def python_words(text: str) -> list[str]:
@@ -162,6 +168,32 @@ def python_predict(model: Model, text: str) -> tuple[str, float]:
     return model.families[int(p.argmax())], float(p.max())
 
 
+def telling_words(model: Model) -> list[str]:
+    """Words of which every paragraph that the model can name holds one.
+
+    The others are those that, even all together with each gram among them, cannot lift a family above ``unknown``."""
+    at = {f: k for k, f in enumerate(model.families)}
+    none = at[UNKNOWN]
+    room = model.biases[none] - np.array(model.biases)
+    room[none] = np.inf
+    gain: dict[str, np.ndarray] = {}
+    for g, f, w in model.weights:
+        gain.setdefault(g, np.zeros(len(at)))[at[f]] = w
+    gain = {g: np.maximum(0, w - w[none]) for g, w in gain.items()}
+    of: dict[str, set] = {}
+    for g in gain:
+        for w in g.split(" "):
+            of.setdefault(w, set()).add(g)
+    weak: set[str] = set()
+    total = np.zeros(len(at))
+    for word in sorted(of, key=lambda w: (gain[w].max() if w in gain else 0.0, w)):
+        more = total + sum((gain[g] for g in of[word] if weak.issuperset(set(g.split(" ")) - {word})), np.zeros(len(at)))
+        if (more < room - 1e-6).all():
+            weak.add(word)
+            total = more
+    return sorted(set(of) - weak)
+
+
 def _ngrams(words, n: int):
     if n == 1:
         return words
@@ -178,28 +210,40 @@ def scan(docs: DataFrame, model: Model | None = None, least_similarity: float =
     """
     model = model or fit()
     spark: SparkSession = docs.sparkSession
-    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(F.col("text").rlike(ANCHOR))
-    lines = slim.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line")).where(F.col("line").rlike(ANCHOR))
+    slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    lines = slim.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    some = "|".join(re.escape(w) for w in telling_words(model))
+    lines = lines.where(F.lower("line").rlike(f"(?<![\\p{{L}}\\p{{N}}])(?:{some})(?![\\p{{L}}\\p{{N}}])"))
     words = F.filter(F.transform(F.split(F.lower("line"), SPLIT, -1), lambda x: F.trim(x, F.lit("."))), lambda x: x != "")
-    split = lines.select("doc_id", "row", F.col("paragraph").cast("long").alias("paragraph"), words.alias("words"))
-    key = ["doc_id", "row", "paragraph"]
-
-    weights = _small(spark, model.weights, "gram string, family string, weight double")
-    grams = split.select(*key, F.explode(F.array_distinct(F.concat(_ngrams(F.col("words"), 1), _ngrams(F.col("words"), 2)))).alias("gram"))
-    sums = grams.join(F.broadcast(weights), "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z"))
-    got = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("family", "z"))).alias("z"))
-    scores = F.array(*(F.struct((F.coalesce(F.col("z")[f], F.lit(0.0)) + F.lit(b)).alias("z"), F.lit(f).alias("family")) for f, b in zip(model.families, model.biases, strict=True)))
+    split = lines.select("row", "paragraph", words.alias("words"))
+    key = ["row", "paragraph"]
+
+    # One row per gram, a column per family, so that a paragraph is one group.
+    wide: dict[str, list] = {}
+    for g, f, w in model.weights:
+        wide.setdefault(g, [0.0] * len(model.families))[model.families.index(f)] = w
+    names = [f"w{k}" for k in range(len(model.families))]
+    weights = _small(spark, [(g, *w) for g, w in wide.items()], "gram string, " + ", ".join(f"{w} double" for w in names))
+    pairs = F.zip_with(F.slice("words", 2, F.size("words")), "words", lambda b, a: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    # explode_outer, as explode would evaluate the array once more to skip empty ones; a null gram joins nothing.
+    grams = split.select(*key, F.explode_outer(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    got = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(*(F.sum(w).alias(w) for w in names))
+    scores = F.array(*(F.struct((F.col(w) + F.lit(b)).alias("z"), F.lit(f).alias("family")) for w, f, b in zip(names, model.families, model.biases, strict=True)))
     best = got.select(*key, F.array_max(scores).alias("best"), scores.alias("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x["z"] - F.col("best")["z"]))
     named = best.select(*key, F.col("best")["family"].alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
 
-    templates = _small(spark, model.templates, "family string, template int, gram string")
-    third = split.select(*key, F.explode(F.array_distinct(_ngrams(F.col("words"), 3))).alias("gram"), F.size(F.array_distinct(_ngrams(F.col("words"), 3))).alias("n"))
-    shared = third.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template", "n").agg(F.count(F.lit(1)).alias("shared"))
-    alike = shared.groupBy(*key, "family").agg(F.max(F.col("shared") / F.col("n")).alias("similarity"))
-    same = [named[c].eqNullSafe(alike[c]) for c in (*key, "family")]
-    joined = named.join(alike, same[0] & same[1] & same[2] & same[3], "left").select(*(named[c] for c in (*key, "family", "probability")), F.coalesce(alike["similarity"], F.lit(0.0)).alias("similarity"))
-    return joined.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "similarity", (F.col("similarity") >= least_similarity).alias("confirmed"))
+    # Templates are compared only with the words of named paragraphs.
+    held: dict[tuple, list] = {}
+    for f, j, g in model.templates:
+        held.setdefault((f, g), []).append(j)
+    templates = _small(spark, [(f, g, j) for (f, g), j in held.items()], "family string, gram string, templates array<int>")
+    third = lines.join(named, key).select(*key, "doc_id", "family", "probability", words.alias("words"))
+    third = third.select(*key, "doc_id", "family", "probability", F.explode_outer(F.array_distinct(_ngrams(F.col("words"), 3))).alias("gram"))
+    found = third.join(F.broadcast(templates), ["family", "gram"], "left").groupBy(*key, "doc_id", "family", "probability").agg(F.count("gram").alias("n"), F.flatten(F.collect_list("templates")).alias("t"))
+    most = F.array_max(F.transform(F.array_distinct("t"), lambda j: F.size(F.filter("t", lambda x: x == j))))
+    alike = found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", F.coalesce(F.when(F.col("n") > 0, most / F.col("n")), F.lit(0.0)).alias("similarity"))
+    return alike.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "similarity", (F.col("similarity") >= least_similarity).alias("confirmed"))
 
 
 def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

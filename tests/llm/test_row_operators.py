@@ -78,6 +78,24 @@ def test_licences_against_brute_force(spark, odd_docs, no_docs):
     assert license_scan.scan(odd_docs, model).count() == 0 and license_scan.scan(no_docs, model).count() == 0
 
 
+def test_licences_need_no_anchor_word(spark):
+    texts = ["Released under GPLv3.", "Distributed under the terms of AGPL-3.0.", "This project is available under CC BY-SA 4.0.", "You may use this file under the terms of Apache 2.0.", "Er kam mit dem Bus.", "Mit."]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.family for r in got} == {0: "GPL", 1: "AGPL", 2: "CC-BY-SA", 3: "Apache"}
+
+
+def test_telling_words_skip_nothing_that_can_be_named():
+    model = license_scan.fit()
+    words = {w for g, _, _ in model.weights for w in g.split(" ")} - set(license_scan.telling_words(model))
+    weights = [x for x in model.weights if words.issuperset(x[0].split(" "))]
+    of = lambda g, f: sum(w for h, k, w in weights if h == g and k == f)
+    grams = {g for g, _, _ in weights}
+    for f, b in zip(model.families, model.biases, strict=True):
+        if f != license_scan.UNKNOWN:
+            most = sum(max(0, of(g, f) - of(g, license_scan.UNKNOWN)) for g in grams)
+            assert b + most < model.biases[model.families.index(license_scan.UNKNOWN)]
+
+
 def test_licence_model_on_held_out_notices():
     model = license_scan.fit()
     rows = [r for i, r in enumerate(license_scan.table()) if i % 4 == 3]
