@@ -194,24 +194,29 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     def body(lengths):
         return "".join(f"<p>{words('keep', n)}</p>" for n in lengths)
 
-    title = f"<h1>{words('keep', 7)}</h1>"
     mixed = f"<p>{words('keep', 20)} <a href='/y'>{words('keep', 3)}</a> {words('keep', 15)}</p>"
-    pages = []
-    for lengths in ([40, 60, 25, 90], [1, 30, 2, 45, 1], [120, 3, 80], [15, 22, 18], [1], [4, 2], [300, 5, 1, 60]):
-        for marked in (True, False):
+    listed = f"<ul><li><a href='/z'>{words('keep', 2)}</a></li><li><a href='/z'>{words('keep', 5)}</a></li></ul><p>{words('keep', 8)}</p><p><a href='/z'>{words('keep', 3)}</a></p>"
+    byline = f"<p><a href='/w'>{words('drop', 2)}</a></p>"
+    pages = [menu(3) + f"<div>{body([n])}</div>" + menu(2) for n in (25, 60, 120, 200)]  # a paragraph alone between menus
+    for ad, size, lengths in zip((9, 2, 1, 3, 5, 12, 4), (7, 2, 3, 4, 1, 9, 5), ([40, 60, 25, 90], [1, 30, 2, 45, 1], [120, 3, 80], [15, 22, 18], [1], [4, 2], [300, 5, 1, 60]), strict=True):
+        title = f"<h1>{words('keep', size)}</h1>"
+        for marked, head in ((True, title), (False, title), (True, ""), (False, "")):
             part = (lambda tag, name, inner: f"<{tag} class='{name}'>{inner}</{tag}>") if marked else (lambda tag, name, inner: f"<div>{inner}</div>")
-            main = f"<article>{title}{body(lengths)}{mixed}</article>" if marked else f"<div>{title}{body([n for n in lengths if n > 10])}{mixed}</div>"
+            main = f"<article>{head}{body(lengths)}{mixed}{listed}</article>" if marked else f"<div>{head}{byline if head else ''}{body(lengths)}{mixed}</div>"
             pages.append(
                 part("nav", "menu", menu(6))
-                + part("header", "site", words("drop", 4))
-                + part("div", "ad", f"<p>{words('drop', 9)}</p>" if marked else f"<a>{words('drop', 9)}</a>")
+                + part("header", "site", words("drop", 10 - size))
+                + part("div", "ad", f"<p>{words('drop', ad)}</p>" if marked else f"<a>{words('drop', ad)}</a>")
                 + main
                 + part("div", "related", menu(4))
-                + (part("section", "comments", f"<p>{words('drop', 35)}</p><p>{words('drop', 6)}</p>") if marked else "")
-                + (part("aside", "sidebar", f"<p>{words('drop', 28)}</p>" + menu(2)) if marked else part("aside", "", menu(3)))
+                + (part("section", "comments", f"<p>{words('drop', 35)}</p><p>{words('drop', 6)}</p><p>{words('drop', 140)}</p><p>{words('drop', 60)}</p>") if marked else "")
+                + (part("aside", "sidebar", f"<p>{words('drop', 28)}</p><p>{words('drop', 80)}</p>" + menu(2)) if marked else part("aside", "", menu(3)))
                 + (part("form", "newsletter", words("drop", 12)) if marked else "")
+                + (part("div", "notice", f"<p>{words('drop', 55)}</p><p>{words('drop', 200)}</p>") if marked else "")
                 + part("footer", "footer", words("drop", 8) if marked else f"{words('drop', 3)} <a>{words('drop', 4)}</a>")
             )
+            if marked:  # boilerplate says what it is, main text does not
+                pages.append(pages[-1].replace(listed, "").replace("<article>", "<div>").replace("</article>", "</div>"))
     x, y = [], []
     for page in pages:
         found = blocks(page)

@@ -251,6 +251,21 @@ def test_html_cases(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_short_paragraphs_and_long_boilerplate():
+    tree = html_extract.grow(*html_extract.labelled_table())
+    menu = "<div><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></div>"
+    short = ["Yes, she said.", "No.", "He did not answer her at all."]
+    page = f"{menu}<div><h1>Title of it</h1><p>{LONG}</p>" + "".join(f"<p>{p}</p>" for p in short) + f"<p>{LONG}</p></div>{menu}"
+    assert html_extract.main_text(page, tree) == "\n\n".join(["Title of it", LONG, *short, LONG])
+    for start, end in (("<div>", "</div>"), ("<main>", "</main>")):  # no heading after the menu
+        assert html_extract.main_text(f"{menu}{start}<p>{LONG}</p><p>{short[0]}</p><p>{LONG}</p>{end}{menu}", tree) == "\n\n".join([LONG, short[0], LONG])
+    assert html_extract.main_text(f"{menu}<div><h1>Title of it</h1><p><a href=/3>By one</a></p><p>{LONG}</p></div>{menu}", tree) == f"Title of it\n\n{LONG}"
+    longer = " ".join([LONG] * 3)
+    for kind in ("comments", "notice", "sidebar"):
+        page = f"{menu}<div><h1>Title of it</h1><p>{LONG}</p><p>{short[0]}</p><p>{LONG}</p></div><div class={kind}><p>{longer}</p><p>{LONG}</p></div>"
+        assert html_extract.main_text(page, tree) == "\n\n".join(["Title of it", LONG, short[0], LONG])
+
+
 def test_tree_fits_its_table():
     x, y = html_extract.labelled_table()
     assert (html_extract.judge(html_extract.grow(x, y), x) == y).mean() > 0.98
