@@ -153,7 +153,7 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, cost: f
         enter[seg] = state[own]
         state[own] = (state[own][:, :, None] + through[seg]).max(1)
     # Inside, with back pointers.
-    back = np.zeros((n, k), np.int8)
+    back = np.zeros((n, k), np.int8 if k <= 128 else np.int32)
     inner = enter.copy()
     states = np.arange(k)
     for t in range(SEGMENT):

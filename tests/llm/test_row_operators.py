@@ -214,6 +214,15 @@ def test_site_quality_odd_rows(spark, odd_docs, no_docs, odd_rows):
     assert site_quality.site_quality(odd_docs, labels.where("false"), F.col("source"), F.col("lang")).count() == len(odd_rows)
 
 
+def test_best_paths_with_many_languages():
+    import numpy as np
+
+    scores = np.zeros((200, 300))
+    scores[:100, 290] = scores[100:, 140] = 5.0
+    labels = langid.best_paths(scores, np.array([0]), np.array([200]), 2.0)
+    assert labels.tolist() == [290] * 100 + [140] * 100
+
+
 # --- HTML --------------------------------------------------------------------------------------------------------
 
 
