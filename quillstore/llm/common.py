@@ -57,6 +57,52 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+# Of a total, the part from which a key counts as hot: so there are at most this many hot keys.
+HOT_KEYS = 1000
+
+
+def broadcast_hot(left: DataFrame, right: DataFrame, keys: list[str], size: str, total, most, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and, as ``size``, how much of ``left`` the key holds.
+
+    total, most: sum and maximum of ``size``.  Keys that hold more than a thousandth of all, a thousand at most, are
+    broadcast, so their rows stay where they are; the rest is left to Spark."""
+    if not total or most * HOT_KEYS <= total or most < HOT_KEYS:
+        return left.join(right, keys, how)
+    hot = F.col(size) * HOT_KEYS > total
+    near = left.join(F.broadcast(right.where(hot)), keys)
+    far = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys, how)
+    return near.unionByName(far)
+
+
+# Bits of the largest table that maybe_among broadcasts (as 2**18 rows of 64 bits).
+TABLE_BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, hashed, keys: DataFrame, n: int, rest: bool = False):
+    """The rows of ``df`` whose 64-bit number ``hashed`` may be among the n of ``keys`` (one column, h), and no fewer.
+
+    A table of bits, sized by n up to a fixed bound, is broadcast; the more keys beyond it, the more rows pass.
+    rest: give (those rows, all other rows)."""
+    bits = 1 << min(TABLE_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+    place = lambda h: F.shiftright(h.bitwiseAND(bits - 1), 6)
+    words = keys.select(place(F.col("h")).alias("t_word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("t_bit")).groupBy("t_word").agg(F.bit_or("t_bit").alias("t_bits"))
+    looked = df.withColumn("t_h", hashed).withColumn("t_at", place(F.col("t_h"))).join(F.broadcast(words), F.col("t_at") == F.col("t_word"), "left" if rest else "inner")
+    held = F.expr("coalesce(shiftright(t_bits, cast(t_h & 63 as int)) & 1L, 0L) = 1L")
+    if not rest:
+        return looked.where(held).select(df.columns)
+    return looked.where(held).select(df.columns), looked.where(~held).select(df.columns)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the checkpoint of a frame made by ``cut`` that no other frame needs any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    file = rdd.getCheckpointFile()
+    if file.isDefined():
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)

@@ -17,10 +17,12 @@ in signatures and expected false candidates.  Groups with next to no elements
 say little; a set leaves such signatures out as long as the units that it
 leaves out stay within an allowance by which the units exceed H + 1.
 
-Candidates are compared with the least member of their signature, its hub, first;
-then, where different components are left around a hub, pairs across these, in
-blocks.  A parity sketch gives a lower bound of the difference before anything is
-emitted, and what passes is verified on the sets.  Nothing is sampled or capped.
+Candidates are compared with the least member of their signature, its hub, first.
+Where different components are left around a hub, pairs across these follow, in
+blocks.  Both are done inside tasks, in two steps: a parity sketch gives a lower
+bound of the difference, and the rows that may have a link come back with their
+sets and are verified exactly (``pairwise``).  A task gives back no more links than
+connect what it holds.  Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -31,10 +33,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded_batches, cut, release
+from . import pairwise as P
+from .common import bounded_batches, broadcast_hot, cut, discard, maybe_among, release
+from .pairwise import sketch
 
 EXACT, SUBSET, DELETION = 0, 1, 2
 
@@ -44,8 +49,8 @@ class Options:
     """k: words of an n-gram; num, den: the least similarity, num / den; hit_rate: assumed chance that two unrelated
     sets share a given element; common_share: assumed share of elements that any other set has; verify_cost,
     compare_cost: cost of verifying and of comparing the sketches of a candidate pair, in signatures; filter_bits: size
-    of the bit table that keeps unshared signatures out of the second pass (a power of two); block: most sets of one
-    side that are compared in one task."""
+    of the bit table that keeps unshared signatures out of the second pass (a power of two); block_bytes: sketches, or
+    sets, of one side that are compared in one task (a single longer one is alone)."""
 
     k: int = 3
     num: int = 90
@@ -55,7 +60,7 @@ class Options:
     compare_cost: float = 0.002
     common_share: float = 0.1
     filter_bits: int = 1 << 25
-    block: int = 2048
+    block_bytes: int = 4 << 20
 
     @property
     def band_ratio(self) -> float:
@@ -246,12 +251,6 @@ def sketch_words(n: int, options: Options) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, 16 * difference(2 * n, options)) / 64)))
 
 
-def sketch(elements: np.ndarray, words: int) -> np.ndarray:
-    """Bit i is the parity of the number of elements with hash i.  Sketches differ in no more bits than sets in elements."""
-    bit = np.bincount((K.splitmix(elements ^ K.U(0xC0FFEE)) & K.U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(bit.astype(np.uint8), bitorder="little").view("<i8")
-
-
 SLIM = "doc_id {id}, doc_key long, n long, set_a long, set_b long, sketch array<long>"
 
 
@@ -305,45 +304,15 @@ def encode(docs: DataFrame, options: Options) -> DataFrame:
     return docs.mapInArrow(run, SLIM.format(id=docs.dtypes[0][1]))
 
 
-def _folded(column, words):
-    """A sketch at half its length, if it is longer than ``words``."""
-    half = (F.size(column) / 2).cast("int")
-    return F.when(F.size(column) > words, F.zip_with(F.slice(column, F.lit(1), half), F.slice(column, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(column)
-
-
-def may_link(a_sketch, a_n, b_sketch, b_n, options: Options):
-    """False only for pairs that cannot reach the similarity."""
-    most = F.floor((a_n + b_n) * (options.den - options.num) / (options.den + options.num))
-    words = F.least(F.size(a_sketch), F.size(b_sketch))
-    bits = F.aggregate(F.zip_with(_folded(a_sketch, words), _folded(b_sketch, words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sizes = (F.least(a_n, b_n) * options.den >= F.greatest(a_n, b_n) * options.num)
-    return sizes & (bits <= most)
-
-
-def verify(pairs: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
-    """The pairs (a, b) of rows whose sets reach the similarity; sets: (row, elements as sorted 64-bit numbers)."""
-    left = sets.select(F.col("row").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("row").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), K.U), np.frombuffer(y.as_py(), K.U)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = options.den * shared >= options.num * (len(both) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, options: Options) -> DataFrame:
-    """(row, elements) of the wanted rows (row, doc_id, doc_key), computed again from the texts."""
-    w = wanted.select("row", F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"))
-    texts = docs.join(w, docs["doc_id"].eqNullSafe(w["__id"]) & (docs["doc_key"] == w["__key"])).select("row", "text")
+    """(row, elements) of the wanted rows (row, doc_id, doc_key), computed again from their texts.
+
+    Only texts that may be wanted are shuffled: a bit table of bounded size says so where they are read."""
+    wanted = cut(wanted)
+    w = wanted.select("row", F.col("doc_id").alias("w_id"), F.col("doc_key").alias("w_key"))
+    some = maybe_among(docs, F.xxhash64("doc_id", "doc_key"), wanted.select(F.xxhash64("doc_id", "doc_key").alias("h")), wanted.count())
+    # Repeated rows give the same set several times.
+    texts = some.join(w, some["doc_id"].eqNullSafe(w["w_id"]) & (some["doc_key"] == w["w_key"])).groupBy("row").agg(F.first("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -355,104 +324,140 @@ def sets_of(docs: DataFrame, wanted: DataFrame, options: Options) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array([elements[bound[i] : bound[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["row", "elements"]
                 )
 
-    # Repeated rows give the same set several times.
-    return texts.mapInArrow(run, "row long, elements binary").groupBy("row").agg(F.first("elements").alias("elements"))
+    return texts.mapInArrow(run, "row long, elements binary")
+
+
+def _forest(batches):
+    """A partition's edges (a, b) as stars (u, v) with the same components, v the least row of each."""
+    for batch in batches:
+        a, b = (np.asarray(c) for c in batch.columns)
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        a, b, least = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while len(a):
+            m = np.minimum(least[a], least[b])
+            before = least.copy()
+            for end in (a, b, before[a], before[b]):
+                np.minimum.at(least, end, m)
+            least = least[least]
+            if (least == before).all():
+                break
+        far = np.flatnonzero(least < np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[least[far]])], names=["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(row, root) of all rows with a link (a, b); the root is the least row reachable.
 
-    Large-star and small-star steps in turn: rounds grow with the logarithm of the longest path, and each round has
-    one row per link at most.
+    Each task first replaces its links by stars.  Then large-star and small-star steps in turn: rounds grow with the
+    logarithm of the longest path, and each has one row per link at most.  Edges point from a greater row to a lesser.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = cut(links.select("a", "b").where("a <> b").mapInArrow(_forest, "u long, v long").distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        state = nodes.agg(F.max((F.col("up") > 1) | (F.col("up") * F.col("down") > 0)).alias("open"), F.max("down").alias("most"), F.sum("down").alias("total")).first()
+        if not state["open"]:  # each row has one edge, and no root has one
+            break
+        up = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        # A row that holds many edges is joined apart; it need not have an edge of its own.
+        sizes = edges.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
+        parents = sizes.join(up, "v", "left")
+        large = broadcast_hot(edges, parents, ["v"], "size", state["total"], state["most"]).select("u", F.coalesce("m", "v").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        # Stars are done: no row is both a root and a child.
-        changed = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() + new.groupBy("u").count().where("count > 1").limit(1).count()
+        new = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        discard(edges)
         edges = new
-        if not changed:
-            break
     roots = edges.select(F.col("v").alias("row")).distinct().withColumn("root", F.col("row"))
     return edges.select(F.col("u").alias("row"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _close_pairs(row, root, n, sketches, left: np.ndarray, right: np.ndarray, same: bool, options: Options, tile: int = 256):
-    """(a, b) of rows in left x right (or pairs in left) of different roots whose sketches allow a link."""
-    for x in range(0, len(left), tile):
-        p = left[x : x + tile]
-        for y in range(x if same else 0, len(right), tile):
-            q = right[y : y + tile]
-            small, large = np.minimum(n[p][:, None], n[q]), np.maximum(n[p][:, None], n[q])
-            open_ = (root[p][:, None] != root[q]) & (small * options.den >= large * options.num)
-            if same and x == y:
-                open_ &= np.arange(len(p))[:, None] < np.arange(len(q))
-            i, j = np.nonzero(open_)
-            for at in range(0, len(i), 1 << 15):
-                u, v = p[i[at : at + (1 << 15)]], q[j[at : at + (1 << 15)]]
-                words = np.minimum(sketches["size"][u], sketches["size"][v])
-                most = (n[u] + n[v]) * (options.den - options.num) // (options.den + options.num)
-                for w in np.unique(words):
-                    k = np.flatnonzero(words == w)
-                    a, b = sketches[int(w)], sketches[int(w)]
-                    bits = np.bitwise_count(a[0][a[1][u[k]]] ^ b[0][b[1][v[k]]]).sum(1, dtype=np.int64)
-                    ok = k[bits <= most[k]]
-                    yield row[u[ok]], row[v[ok]]
-
-
-def _at_widths(lists: pa.Array) -> dict:
-    """Sketches of a column as matrices: for each width w those of w and of 2 w words, the latter folded."""
-    flat, size = np.asarray(lists.flatten()).view(K.U), np.asarray(lists.value_lengths()).astype(np.int64)
-    first = np.cumsum(size) - size
-    out: dict = {"size": size}
-    for w in np.unique(size):
-        place = np.full(len(size), -1)
-        own, double = np.flatnonzero(size == w), np.flatnonzero(size == 2 * w)
-        place[own], place[double] = np.arange(len(own)), len(own) + np.arange(len(double))
-        parts = [flat[first[own][:, None] + np.arange(w)]]
-        if len(double):
-            parts.append(flat[first[double][:, None] + np.arange(w)] ^ flat[first[double][:, None] + w + np.arange(w)])
-        out[int(w)] = (np.concatenate(parts), place)
-    return out
-
-
-def across(labelled: DataFrame, options: Options) -> DataFrame:
-    """Pairs (a, b) of rows around a common hub (hub, row, n, sketch, root), of different roots, that may link.
-
-    Rows around a hub are cut into blocks, each pair of blocks is a task of bounded size, and small hubs share tasks.
-    Only the pairs that pass leave a task.
-    """
-    spread = labelled.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
-    spread = cut(spread.select("hub", F.ceil(F.col("size") / options.block).cast("int").alias("blocks"), "size"))
-    tasks = max(1, (spread.agg(F.sum("size")).first()[0] or 0) // (2 * options.block))
-    rows = labelled.join(spread.drop("size"), "hub").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    alone = rows.where("blocks = 1").select(F.pmod(F.xxhash64("hub"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "hub", "own", "row", "n", "root", "sketch")
-    paired = rows.where("blocks > 1").withColumn("with", other).select(F.col("hub").alias("task"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "hub", "own", "row", "n", "root", "sketch")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        column = lambda c: np.asarray(table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c))
-        hub, own, row, root, n, i, j = (column(c) for c in ("hub", "own", "row", "root", "n", "i", "j"))
-        lists = table.column("sketch").combine_chunks()
-        sketches = _at_widths(lists if isinstance(lists, pa.Array) else lists.chunk(0))
-        found = []
-        if i[0] >= 0 and i[0] != j[0]:
-            found += _close_pairs(row, root, n, sketches, np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]), False, options)
-        else:
-            order = np.argsort(hub, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
-                found += _close_pairs(row, root, n, sketches, part, part, True, options)
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
+# Rows around a hub: hub, row, n, root, sketch, centre (whether the row is the hub that others are compared with).
+AROUND = "hub long, row long, n long, root long, sketch array<long>, centre boolean"
+
+
+def _tasks(total, limit: int):
+    return F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, int(total or 0) // limit))).alias("task")
+
+
+def deal_star(rows: DataFrame, weight, limit: int) -> DataFrame:
+    """Each hub's centre against its other rows, these in blocks of about ``limit`` bytes (``weight`` is a row's).
+
+    Adds i, j (the part), side and task.  The centre is repeated once per block, so rows grow in proportion."""
+    rows = rows.withColumn("bytes", weight)
+    sizes = cut(rows.where("not centre").groupBy("hub").agg(F.sum("bytes").alias("size")))
+    total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+    blocks = sizes.select("hub", "size", F.ceil(F.col("size") / limit).cast("int").alias("blocks"))
+    others = broadcast_hot(rows.where("not centre"), blocks, ["hub"], "size", total, most).withColumn("i", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    centres = rows.where("centre").join(blocks, "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sided = others.withColumn("side", F.lit(P.RIGHT)).unionByName(centres.withColumn("side", F.lit(P.LEFT))).withColumn("j", F.lit(-1))
+    return sided.select(*_columns(), "i", "j", "side", _tasks(total, limit))
+
+
+def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
+    """All rows of a hub against those of other roots, in pairs of blocks of about ``limit`` bytes.
+
+    Rows of a root that alone fills more than a block get blocks of their own, which are not compared with each other:
+    a large group of near copies grows in proportion once it is known to be one."""
+    rows = rows.withColumn("bytes", weight)
+    per = cut(rows.groupBy("hub", "root").agg(F.sum("bytes").alias("size")))
+    own = F.when(F.col("size") > limit, F.ceil(F.col("size") / limit))
+    light = F.sum(F.when(F.col("size") <= limit, F.col("size")))
+    hubs = per.groupBy("hub").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots"), F.ceil(F.coalesce(light, F.lit(0)) / limit).cast("int").alias("mixed"), F.coalesce(F.sum(own), F.lit(0)).cast("int").alias("pure"))
+    hubs = cut(hubs.where("roots > 1").select("hub", "size", "mixed", (F.col("mixed") + F.col("pure")).alias("blocks")))
+    total, most, dealt = hubs.agg(F.sum("size"), F.max("size"), F.sum(F.col("size") * F.col("blocks"))).first()
+    if not total or most <= limit:  # every hub is one block
+        alone = rows.join(hubs.select("hub"), "hub", "left_semi").withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("side", F.lit(P.BOTH))
+        return alone.select(*_columns(), "i", "j", "side", _tasks(total, limit))
+    k = F.ceil(F.col("size") / limit).cast("int")
+    before = F.sum("k").over(W.partitionBy("hub").orderBy("root").rowsBetween(W.unboundedPreceding, -1))
+    pure = per.where(F.col("size") > limit).withColumn("k", k).join(hubs.select("hub", "mixed"), "hub")
+    pure = cut(pure.select("hub", "root", "size", "k", (F.col("mixed") + F.coalesce(before, F.lit(0))).cast("int").alias("base")))
+    placed = broadcast_hot(rows, hubs, ["hub"], "size", total, most).drop("size")
+    placed = broadcast_hot(placed, pure, ["hub", "root"], "size", total, most, "left")
+    number = F.xxhash64("row")
+    placed = placed.withColumn("own", F.when(F.col("k").isNotNull(), F.col("base") + F.pmod(number, F.greatest("k", F.lit(1)))).otherwise(F.pmod(number, F.greatest("mixed", F.lit(1)))).cast("int"))
+    foreign = lambda w: F.col("k").isNull() | (w < F.col("base")) | (w >= F.col("base") + F.col("k"))
+    paired = placed.withColumn("with", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), foreign)))
+    paired = paired.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
+    side = F.when(F.col("own") == F.col("with"), P.BOTH).when(F.col("own") < F.col("with"), P.LEFT).otherwise(P.RIGHT)
+    return paired.select(*_columns(), "i", "j", side.alias("side"), _tasks(dealt, 2 * limit))
+
+
+def _columns() -> list[str]:
+    return [c.split()[0] for c in AROUND.split(", ")]
+
+
+def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False) -> DataFrame:
+    """Links (a, b) among rows around common hubs (AROUND), dealt to tasks by ``deal``; sets: gives (row, elements) of some
+    rows.  Not every: only links that join different roots, no more of a task than it takes to connect what it holds."""
+
+    def look(table: pa.Table) -> pa.Table:
+        plain, parts = P.parts_of(table)
+        sketches, keep = P.Sketches(P.one_array(table, "sketch")), np.zeros(table.num_rows, bool)
+        for part in parts:
+            keep[P.open_rows(plain["n"], plain["root"], plain["side"], sketches, part, options)] = True
+        return table.select(_columns()).filter(pa.array(keep))
+
+    def prove(table: pa.Table) -> pa.Table:
+        plain, parts = P.parts_of(table)
+        sketches = P.Sketches(P.one_array(table, "sketch"))
+        elements = P.one_array(table, "elements")
+        a, b = [], []
+        for part in parts:
+            own = {int(x): np.frombuffer(elements[int(x)].as_buffer(), K.U) for x in part}
+            for x, found in P.links(plain["n"], plain["root"], plain["side"], sketches, own, part, options, every):
+                a.append(np.full(len(found), plain["row"][x]))
+                b.append(plain["row"][found])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return alone.unionByName(paired).groupBy("task", "i", "j").applyInArrow(compare, "a long, b long")
+    sketch_bytes = 8 * F.size("sketch") + 64
+    some = cut(deal(rows, sketch_bytes, options.block_bytes).groupBy("task").applyInArrow(look, AROUND).dropDuplicates(["hub", "row"]))
+    full = deal(some, 8 * F.col("n") + sketch_bytes, options.block_bytes).join(sets(some.select("row").distinct()), "row")
+    found = cut(full.groupBy("task").applyInArrow(prove, "a long, b long").distinct())
+    discard(some)
+    return found
 
 
 def _shared_only(rows: DataFrame, shared: DataFrame, options: Options) -> DataFrame:
@@ -494,11 +499,13 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
 
     all_links: verify every candidate, so that ``links`` has each pair of similar distinct sets; else pairs inside a
     component that is already known are not looked at, and links only span the components.
-    Null and empty texts and texts without words have no set and link with nothing; repeated rows are one class;
-    ids may repeat or be null.
+    Null and empty texts and texts without words have no set and link with nothing; texts of any length are one row;
+    repeated rows are one class; ids may repeat or be null; an empty table gives empty frames; other columns, whatever
+    their names, are not looked at.
     """
     options = options or Options()
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("doc_key"), docs[text_col].alias("text"))
     plan = bands(max(1, docs.count()), largest, options)
     rows = cut(encode(slim, options).withColumn("row", F.monotonically_increasing_id()))
@@ -506,63 +513,100 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     classes = cut(rows.where("n > 0").groupBy("set_a", "set_b", "n").agg(one).select("set_a", "set_b", "n", F.col("one.row").alias("rep"), "one.doc_id", "one.doc_key", "one.sketch"))
     facts = classes.select(F.col("set_a").alias("cls"), F.col("rep").alias("row"), "n", "sketch")
 
-    # A set goes by half of its name here; should two sets share it, both are looked at.
+    # A set goes by half of its name here.
     signed = signature_rows(slim, plan, options)
     exploded = signed.select(F.col("set_a").alias("cls"), F.explode("sigs").alias("sig"))
     shared = cut(exploded.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sig", "hub"))
-    release(docs.sparkSession)
-    members = cut(_shared_only(signed, shared, options).distinct().join(shared, "sig"))
-
-    def verified(pairs):
-        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        wanted = classes.join(ends, "rep", "left_semi").select(F.col("rep").alias("row"), "doc_id", "doc_key")
-        return cut(verify(pairs, sets_of(slim, wanted, options), options))
-
-    a = facts.select(*(F.col(c).alias(f"a_{c}") for c in facts.columns))
-    b = facts.select(*(F.col(c).alias(f"b_{c}") for c in facts.columns))
-    near = may_link(F.col("a_sketch"), F.col("a_n"), F.col("b_sketch"), F.col("b_n"), options)
-    candidates = members.where("cls <> hub").select(F.col("hub").alias("a_cls"), F.col("cls").alias("b_cls")).distinct()
-    star = cut(candidates.join(b, "b_cls").join(a, "a_cls").where(near).select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")).distinct())
-    release(docs.sparkSession)
-    links = verified(star)
-    roots = components(links)
-    release(docs.sparkSession)
-    # Hubs around which several components are left: compare across these.
-    labelled = members.select("hub", "cls").distinct().join(facts, "cls").join(roots, "row", "left").select("hub", "row", "n", "sketch", F.coalesce("root", "row").alias("root"))
-    if all_links:
-        labelled = labelled.withColumn("root", F.col("row"))
-    more = cut(across(cut(labelled), options).distinct().join(star, ["a", "b"], "left_anti"))
+    release(spark)
+    around = _shared_only(signed, shared, options).distinct().join(shared, "sig").select("hub", "cls").distinct()
+    columns = ["hub", "row", "n", F.col("row").alias("root"), "sketch", (F.col("cls") == F.col("hub")).alias("centre")]
+    rows_around = cut(around.join(facts, "cls").select(*columns))
+    discard(shared)
+    release(spark)
+
+    def sets(some):
+        wanted = classes.join(some, classes["rep"] == some["row"], "left_semi")
+        return sets_of(slim, wanted.select(F.col("rep").alias("row"), "doc_id", "doc_key"), options)
+
+    def rooted(roots):
+        if all_links:
+            return others
+        known = roots.withColumnRenamed("root", "known")
+        return others.join(known, "row", "left").select("hub", "row", "n", F.coalesce("known", "root").alias("root"), "sketch", "centre")
+
+    links = linked(rows_around, deal_star, sets, options, all_links)
+    roots = cut(components(links))
+    release(spark)
+    # All pairs with the hub have been looked at, so it is left out from here on.
+    others = rows_around.where("not centre")
+    labelled = cut(rooted(roots))
+    # Hubs of more than a block: one of their rows after the other takes the hub's place while that connects much, so
+    # that near copies around a stranger become one root before pairs of blocks are formed.
+    weight = F.sum(8 * F.size("sketch") + 64).alias("bytes")
+    while not all_links:
+        open_hubs = labelled.groupBy("hub").agg(weight, F.countDistinct("root").alias("roots")).where((F.col("bytes") > options.block_bytes) & (F.col("roots") > 1))
+        before = open_hubs.agg(F.sum("roots")).first()[0]
+        if not before:
+            break
+        centre = labelled.join(open_hubs.select("hub"), "hub", "left_semi").groupBy("hub").agg(F.min_by(F.struct("row", "root"), F.xxhash64("row", F.lit(before))).alias("c"), F.count(F.lit(1)).alias("size"))
+        size = centre.agg(F.sum("size"), F.max("size")).first()
+        chosen = broadcast_hot(labelled, centre, ["hub"], "size", *size).where("row = c.row or root <> c.root")
+        more = linked(cut(chosen.select("hub", "row", "n", "root", "sketch", (F.col("row") == F.col("c.row")).alias("centre"))), deal_star, sets, options)
+        links = cut(links.unionByName(more))
+        roots = cut(components(links))
+        discard(labelled)
+        labelled = cut(rooted(roots))
+        after = labelled.join(open_hubs.select("hub"), "hub", "left_semi").groupBy("hub").agg(F.countDistinct("root").alias("roots")).agg(F.sum("roots")).first()[0]
+        if 4 * after > 3 * before:
+            break
+    more = linked(labelled, deal_across, sets, options, all_links)
+    discard(rows_around)
+    discard(labelled)
     if more.limit(1).count():
-        links = links.unionByName(verified(more))
-        roots = components(links)
+        links = links.unionByName(more).distinct()
+        roots = cut(components(links))
+    release(spark)
     return Joined(rows.drop("sketch"), classes.select("set_a", "set_b", "n", "rep"), links, roots)
 
 
 def component_rows(joined: Joined) -> DataFrame:
     """One row per document: doc_id, doc_key, row, n_shingles, component_id (least doc_id of its component) and keep
-    (true for one document of each component: that with the least doc_id, ties broken by text and row)."""
+    (true for one document of each component: that with the least doc_id, ties broken by text and row).
+
+    Documents without a set, null and empty texts among them, are components of their own.  Null ids come last; a
+    component of null ids alone has a null id.  Repeated rows are one component, of which one is kept."""
     rows, key = joined.rows, ["set_a", "set_b", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("doc_key").alias("key"), F.col("row").alias("row"))).alias("first")
     # By class first, so that copies are summed up where they are read and a component has one row per class.
-    by_class = rows.where("n > 0").groupBy(*key).agg(first)
-    rooted = by_class.join(joined.classes, key).join(joined.roots.withColumnRenamed("row", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    known = rooted.join(least, "root").select(*key, "least")
-    linked = rows.where("n > 0").join(known, key).select("doc_id", "doc_key", "row", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("keep"))
+    by_class = rows.where("n > 0").groupBy(*key).agg(first, F.count(F.lit(1)).alias("copies"))
+    rooted = cut(by_class.join(joined.classes, key).join(joined.roots.withColumnRenamed("row", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"), "first", "copies"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("size"))
+    total, most = least.agg(F.sum("size"), F.max("size")).first()
+    known = cut(broadcast_hot(rooted, least, ["root"], "size", total, most).select(*key, "least", "copies"))
+    total, most = known.agg(F.sum("copies"), F.max("copies")).first()
+    linked_rows = broadcast_hot(rows.where("n > 0"), known, key, "copies", total, most)
+    linked_rows = linked_rows.select("doc_id", "doc_key", "row", F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("keep"))
     alone = rows.where("n = 0").select("doc_id", "doc_key", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
-    return linked.unionByName(alone)
+    return linked_rows.unionByName(alone)
 
 
 def one_per_component(docs: DataFrame, options: Options | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, of which one document of each component stays.  Documents without
-    a set are alone and stay; of fully repeated (id, text) rows with a set one stays."""
-    kept = component_rows(jaccard_join(docs, options, id_col=id_col, text_col=text_col)).where("keep")
-    keys = kept.groupBy("doc_id", "doc_key").agg(F.max("n_shingles").alias("__n")).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "__n")
-    out = docs.join(keys, docs[id_col].eqNullSafe(keys["__id"]) & (F.xxhash64(docs[text_col], docs[text_col].isNull()) == keys["__key"]))
-    # A kept row and its repetitions share id and text: number them only where there are any.
-    repeated = docs.groupBy(F.col(id_col).alias("i"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("k")).count().where("count > 1").limit(1).count()
-    if repeated:
-        names = [F.col(f"`{c}`") for c in docs.columns]
-        with_set, without = out.where("__n > 0"), out.where("__n = 0")
-        out = with_set.dropDuplicates(["__id", "__key"]).select(*names, "__n").unionByName(without.select(*names, "__n"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs``, all columns unchanged, of which one document of each component stays: that with the least
+    id, ties broken by the text's hash.  Documents without a set (null or empty texts, texts without words) are alone
+    and stay; of rows that repeat id and text one stays.  Columns may have any names; an empty table stays empty.
+
+    Only rows that may have to go are shuffled: a bit table of bounded size says so where they are read."""
+    fate = component_rows(jaccard_join(docs, options, id_col=id_col, text_col=text_col)).where("n_shingles > 0")
+    fate = fate.groupBy("doc_id", "doc_key").agg(F.max("keep").alias("stays"), F.count(F.lit(1)).alias("copies")).where("not stays or copies > 1")
+    fate = cut(fate.select(F.col("doc_id").alias("f_id"), F.col("doc_key").alias("f_key"), "stays"))
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    plain = plain.withColumn("d_id", at).withColumn("d_key", F.xxhash64(text, text.isNull()))
+    hashed = F.xxhash64("d_id", "d_key")
+    maybe, sure = maybe_among(plain, hashed, fate.select(F.xxhash64("f_id", "f_key").alias("h")), fate.count(), rest=True)
+    looked = maybe.join(fate, maybe["d_id"].eqNullSafe(fate["f_id"]) & (maybe["d_key"] == fate["f_key"]), "left")
+    once = looked.where("stays").dropDuplicates(["d_id", "d_key"])
+    every = [c for c in plain.columns if c.startswith("c")]
+    out = sure.select(*every).unionByName(looked.where("stays is null").select(*every)).unionByName(once.select(*every))
+    return out.toDF(*names)
