@@ -10,8 +10,8 @@ left by the first step and k by the second.
 
 Each assistant turn is an example: the prefix of the formatted conversation up
 to its text is the context, the text itself the only trainable part.  Examples
-of a conversation share its formatted text and are kept as spans of it, so a
-long conversation takes no quadratic space before they are exploded.
+of a conversation share its formatted text and are kept as spans of it until they
+are exploded, so a long conversation takes no quadratic space before.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns are ordered by turn number; ties, and rows without a number (they come first), by role, then text.  Null
     roles and texts are empty; rows with a null conversation id are one conversation; repeated rows are turns of their
-    own.  One shuffle, on the conversation.
+    own; an empty table gives no conversations; other columns are not looked at.  A conversation is one row, so its text
+    must fit a task.  One shuffle, on the conversation.
     """
     rows = turns.select(
         turns[conv_col].alias("conv_id"),
@@ -69,38 +70,44 @@ def _span(e):
     return F.substring(F.col("formatted"), (e["start"] + 1).cast("int"), (e["end"] - e["start"]).cast("int"))
 
 
-def explode_examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, example, turn, context, target (both still escaped).  A conversation
-    without one has no example."""
+def explode_examples(formatted: DataFrame, keep: tuple = (), with_none: bool = False) -> DataFrame:
+    """One row per assistant turn: conv_id, ``keep``, example, turn (the number of turns before it), context_chars,
+    context and target (both still escaped; the context is all before the target, which alone is trainable).
+
+    A conversation without an assistant turn has no example; with_none: one row without one.  The rows of a
+    conversation stay in its task.  Contexts are only cut out of the conversation where they are read."""
     e = F.col("e")
-    return formatted.select("conv_id", "formatted", F.explode("examples").alias("e")).select(
-        "conv_id", e["example"].alias("example"), e["turn"].alias("turn"), F.substring(F.col("formatted"), F.lit(1), e["start"].cast("int")).alias("context"), _span(e).alias("target")
+    explode = F.explode_outer if with_none else F.explode
+    return formatted.select("conv_id", *keep, "formatted", explode("examples").alias("e")).select(
+        "conv_id", *keep, e["example"].alias("example"), e["turn"].alias("turn"), e["start"].alias("context_chars"), F.substring(F.col("formatted"), F.lit(1), e["start"].cast("int")).alias("context"), _span(e).alias("target")
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text) parsed from the formatted text, and losses: the unescaped text under each example's mask."""
+    """The columns of ``formatted`` and turns (role, text), parsed from the formatted text."""
     parts = F.slice(F.split("formatted", r"<\|turn\|>", -1), 2, 1 << 30)
 
     def turn(p):
         halves = F.split(p, r"<\|text\|>", 2)
         return F.struct(unescape(F.get(halves, F.lit(0))).alias("role"), unescape(F.substring_index(F.get(halves, F.lit(1)), END, 1)).alias("text"))
 
-    losses = F.transform("examples", lambda e: unescape(_span(e)))
-    return formatted.select("conv_id", F.transform(parts, turn).alias("turns"), losses.alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return formatted.select("*", F.transform(parts, turn).alias("turns"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the contract asks for, all of it read back from the formatted text and its spans."""
+    """What the contract asks for: turns read back from the formatted text, losses from the targets of the exploded
+    examples, put together again per conversation; n_examples, and context_turns (turns before targets, in all).  One
+    row per conversation; an empty table gives none."""
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("losses", "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return read_back(formatted).select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        sha(told).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        sha(loss).alias("loss_sha256"),
-        "formatted_chars",
-        F.size("losses").cast("long").alias("n_examples"),
+    whole = ("n_turns", "turns_sha256", "formatted_chars")
+    back = read_back(formatted).select(
+        "conv_id", "formatted", "examples", F.size("turns").cast("long").alias("n_turns"), sha(told).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+    each = explode_examples(back, whole, with_none=True).select("conv_id", *whole, "turn", F.when(F.col("example").isNotNull(), F.struct("example", unescape(F.col("target")).alias("text"))).alias("loss"))
+    losses = F.sort_array(F.collect_list("loss")).alias("losses")  # nulls are left out
+    again = each.groupBy("conv_id").agg(*(F.first(c).alias(c) for c in whole), losses, F.coalesce(F.sum("turn"), F.lit(0)).cast("long").alias("context_turns"))
+    loss = F.array_join(F.transform("losses", lambda x: x["text"]), "")
+    return again.select(
+        "conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), "formatted_chars", F.size("losses").cast("long").alias("n_examples"), "context_turns"
     )
