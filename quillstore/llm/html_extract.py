@@ -34,6 +34,9 @@ BOILERPLATE_WORDS = frozenset(
 )
 #: Of these, words that say nothing inside main text.
 PART_WORDS = frozenset("header masthead teaser".split())
+#: Of these, words that inside main text count only if nothing but such words and CONTAINERS is said.
+SOFT_WORDS = frozenset("discussion notice notices promotion recommended related replies reply respond search share sharing social warning".split())
+CONTAINERS = frozenset("area articles bar box block buttons container content icons inner items links list module panel posts reading section stories topics wrap wrapper".split())
 RELATIONS = frozenset("has with no without".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
@@ -45,6 +48,12 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 FEATURES = ("boilerplate", "main", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after", "page_has_main")
 
 
+def _tells(name: set, own: bool) -> bool:
+    """Whether one name of an element inside main text says that it is boilerplate; own: another says it is main text."""
+    hard = (name & BOILERPLATE_WORDS) - PART_WORDS - SOFT_WORDS
+    return bool(hard) or (not own and bool(name & SOFT_WORDS) and name <= SOFT_WORDS | PART_WORDS | CONTAINERS)
+
+
 def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
     """Whether an element says by name, class, id or role that it is boilerplate, or main text; inside: of main text."""
     bad, good = tag in BOILERPLATE_TAGS, tag in MAIN_TAGS
@@ -56,8 +65,12 @@ def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]
             elif name in ("class", "id", "role"):
                 names = [{w.lower() for w in WORDS.findall(v)} for v in value.split()]
                 said = set().union(*(n for n in names if n.isdisjoint(RELATIONS)))  # "has-sidebar" is about something inside
-                bad |= not (said - PART_WORDS if inside else said).isdisjoint(BOILERPLATE_WORDS)
-                good |= not said.isdisjoint(MAIN_WORDS)
+                own = not said.isdisjoint(MAIN_WORDS)
+                if inside:
+                    bad |= any(_tells(n, own) for n in names if n.isdisjoint(RELATIONS))
+                else:
+                    bad |= not said.isdisjoint(BOILERPLATE_WORDS)
+                good |= own
     return bad, good
 
 
@@ -195,14 +208,29 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
         return "".join(f"<p>{words('keep', n)}</p>" for n in lengths)
 
     mixed = f"<p>{words('keep', 20)} <a href='/y'>{words('keep', 3)}</a> {words('keep', 15)}</p>"
-    listed = f"<ul><li><a href='/z'>{words('keep', 2)}</a></li><li><a href='/z'>{words('keep', 5)}</a></li></ul><p>{words('keep', 8)}</p><p><a href='/z'>{words('keep', 3)}</a></p>"
+    one = f"<p>{words('keep', 8)}</p><p><a href='/z'>{words('keep', 3)}</a></p><p>{words('keep', 30)}</p>"  # a link among text
+    run = lambda n: "<ul>" + "".join(f"<li><a href='/z'>{words('drop', 1 + 2 * i)}</a></li>" for i in range(n)) + "</ul>"  # noqa: E731  a list of links
+    listed = f"<ul><li>{words('keep', 2)}</li><li>{words('keep', 5)} <a href='/z'>{words('keep', 1)}</a></li></ul>{one}{run(3)}<p>{words('keep', 12)}</p>{run(2)}<p>{words('keep', 60)}</p>{run(4)}<h2>{words('keep', 3)}</h2><p>{words('keep', 9)}</p><p><a href='/z'>{words('keep', 6)}</a></p><p>{words('keep', 7)}</p>"
     byline = f"<p><a href='/w'>{words('drop', 2)}</a></p>"
     pages = [menu(3) + f"<div>{body([n])}</div>" + menu(2) for n in (25, 60, 120, 200)]  # a paragraph alone between menus
+    for before in (2, 7, 24, 70):  # links in an article: one among text belongs to it, a list of them does not
+        for after in (2, 7, 24, 70):
+            for size in (1, 4, 9):
+                one = f"<p><a href='/z'>{words('keep', size)}</a></p>"
+                several = f"<p><a href='/z'>{words('drop', size)}</a></p>" * (2 + before % 2)
+                pages += [f"<article><p>{words('keep', before)}</p>{links}<p>{words('keep', after)}</p></article>" for links in (one, several)]
+                pages.append(f"<article><p>{words('keep', 30)}</p>{several}<p>{words('keep', after)}</p>{several}<p>{words('keep', before)}</p></article>")
+                pages.append(f"<div><a href='/z'>{words('drop', size)}</a></div><div><p>{words('keep', after + 18)}</p></div><div><a href='/z'>{words('drop', size)}</a></div>")
+                pages.append(f"<div><p>{words('keep', before + 18)}</p></div><div><a href='/z'>{words('drop', size)}</a></div><div><p>{words('keep', after + 18)}</p></div>")
+    for n in (20, 28, 45, 90, 150):  # a foot of links, or of text and links, after a paragraph
+        for size in (1, 2, 3, 6):
+            foot = f"<div>{words('drop', size)} <a href='/f'>{words('drop', size)}</a> <a href='/f'>{words('drop', 1)}</a></div>" if size % 2 else f"<div><a href='/f'>{words('drop', size)}</a></div>"
+            pages.append(f"{menu(3)}<div><h1>{words('keep', size)}</h1>{body([n, n])}</div>{foot}")
     for ad, size, lengths in zip((9, 2, 1, 3, 5, 12, 4), (7, 2, 3, 4, 1, 9, 5), ([40, 60, 25, 90], [1, 30, 2, 45, 1], [120, 3, 80], [15, 22, 18], [1], [4, 2], [300, 5, 1, 60]), strict=True):
         title = f"<h1>{words('keep', size)}</h1>"
         for marked, head in ((True, title), (False, title), (True, ""), (False, "")):
             part = (lambda tag, name, inner: f"<{tag} class='{name}'>{inner}</{tag}>") if marked else (lambda tag, name, inner: f"<div>{inner}</div>")
-            main = f"<article>{head}{body(lengths)}{mixed}{listed}</article>" if marked else f"<div>{head}{byline if head else ''}{body(lengths)}{mixed}</div>"
+            main = f"<article>{head}{body(lengths)}{mixed}{listed}{run(2 + size % 4)}</article>" if marked else f"<div>{head}{byline if head else ''}{body(lengths)}{mixed}</div>"
             pages.append(
                 part("nav", "menu", menu(6))
                 + part("header", "site", words("drop", 10 - size))
@@ -270,7 +298,8 @@ def main_text(page: str | None, tree) -> str:
 
 def extract(pages: DataFrame, tree=None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.  Narrow; a null or empty page gives an empty text; repeated
-    rows are handled each."""
+    rows are handled each; pages of any length are one row; an empty table gives none; other columns are not looked at.
+    A block that ties in a leaf of the tree is kept."""
     tree = grow(*labelled_table()) if tree is None else tree
     bounded_batches(pages.sparkSession)
     slim = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
