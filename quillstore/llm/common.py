@@ -17,9 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is named (tests)."""
+    """Use the cluster's shared checkpoint folder.  Where none is named, a local one will do only if all runs in this
+    process (tests); a cluster's executors would not see it."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quillstore-checkpoints"))
 
 
@@ -93,6 +96,18 @@ def maybe_among(df: DataFrame, hashed, keys: DataFrame, n: int, rest: bool = Fal
     return looked.where(held).select(df.columns), looked.where(~held).select(df.columns)
 
 
+def drop_keys(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, whose (id, 64-bit hash of the text, null apart) is not among ``keys``
+    (f_id, f_key).  Rows that cannot be are not shuffled."""
+    names, keys = docs.columns, cut(keys)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = F.col(f"c{names.index(text_col)}")
+    plain = plain.withColumn("d_id", F.col(f"c{names.index(id_col)}")).withColumn("d_key", F.xxhash64(text, text.isNull()))
+    maybe, sure = maybe_among(plain, F.xxhash64("d_id", "d_key"), keys.select(F.xxhash64("f_id", "f_key").alias("h")), keys.count(), rest=True)
+    left = maybe.join(keys, maybe["d_id"].eqNullSafe(keys["f_id"]) & (maybe["d_key"] == keys["f_key"]), "left_anti")
+    return sure.unionByName(left).drop("d_id", "d_key").toDF(*names)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the checkpoint of a frame made by ``cut`` that no other frame needs any more."""
     rdd = df._jdf.queryExecution().analyzed().rdd()
@@ -103,6 +118,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data, in any store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, drop_keys
 
 SEGMENT = "doc_ids {id}, doc_keys array<long>, n_words array<long>, terms array<int>, counts array<int>, postings binary"
 
@@ -36,13 +36,18 @@ class TestSet:
     __test__ = False
     vocabulary: np.ndarray
     windows: np.ndarray
-    items: list
+    items: list[str]
     item_of: np.ndarray
     window_of: np.ndarray
 
 
+def _name(item) -> str:
+    return "null" if item is None else str(item)
+
+
 def encode_items(items: list[tuple], window: int) -> TestSet:
-    """items: (id, text) pairs; a null text has no words and hence no window."""
+    """items: (id, text) pairs; a null text has no words and hence no window.  Rows of one id are one item, which has the
+    windows of all of them; the id of an item without one is ``null``."""
     column = pa.array([t for _, t in items], pa.large_string())
     data, offsets, _ = K.utf8_column(column)
     data = K.ascii_lower(data[offsets[0] : offsets[-1]])
@@ -50,6 +55,8 @@ def encode_items(items: list[tuple], window: int) -> TestSet:
     hashes = K.word_hashes(data, starts, ends)
     vocabulary = np.unique(hashes)
     ids = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    names = sorted({_name(i) for i, _ in items})
+    number = {x: i for i, x in enumerate(names)}
     out, owner = [], []
     bounds = np.searchsorted(rows, np.arange(len(items) + 1))
     for i in range(len(items)):
@@ -58,10 +65,10 @@ def encode_items(items: list[tuple], window: int) -> TestSet:
             out.append(np.pad(own, (0, window - len(own)), constant_values=-1)[None])
         elif len(own):
             out.append(np.lib.stride_tricks.sliding_window_view(own, window))
-        owner += [i] * (len(out[-1]) if len(own) else 0)
+        owner += [number[_name(items[i][0])]] * (len(out[-1]) if len(own) else 0)
     every = np.concatenate(out) if out else np.zeros((0, window), np.int32)
     distinct, inverse = np.unique(every, axis=0, return_inverse=True)
-    return TestSet(vocabulary, distinct, [i for i, _ in items], np.array(owner, np.int64), inverse.reshape(-1))
+    return TestSet(vocabulary, distinct, names, np.array(owner, np.int64), inverse.reshape(-1))
 
 
 def blocks(items: DataFrame, window: int, block_bytes: int):
@@ -169,7 +176,7 @@ RESULT = "doc_id {id}, doc_key long, n_words long, n_hit long, hits binary, item
 def search(index: DataFrame, block: TestSet, slack: int = 3) -> DataFrame:
     """Per document of the index: n_words, n_hit, its hit words as packed bits, and the ids, as sorted strings, of the
     block's items that have an exact occurrence (items) or only one within the slack (near_items)."""
-    shared = index.sparkSession.sparkContext.broadcast(pickle.dumps((block.windows, block.item_of, block.window_of, [str(i) for i in block.items])))
+    shared = index.sparkSession.sparkContext.broadcast(pickle.dumps((block.windows, block.item_of, block.window_of, block.items)))
     kind = dict(index.dtypes)["doc_ids"][6:-1]
 
     def run(batches):
@@ -239,8 +246,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, slack: in
     a window), items (ids, as strings, with an exact occurrence, sorted), near_items (only within the slack).
 
     Null and empty texts have no words.  An item with fewer words than the window, but not none, is one window.
-    Repeated rows each get a row.  Items are read in blocks of ``block_bytes``; one block is the common case, further
-    blocks cost one more pass each and are joined by document.
+    Repeated rows of ``docs`` each get a row, ids may be null; repeated item ids are one item and a null one is reported
+    as ``null``, whatever the blocks.  An empty table of documents gives no rows, one of items no hits.  A long text is a
+    segment of its own.  Items are read in blocks of ``block_bytes``; one block is the common case, further blocks cost
+    one more pass each and are joined by document.
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col], docs[text_col].isNull()).alias("doc_key"), docs[text_col].alias("text"))
@@ -284,7 +293,6 @@ def digest(report: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -293,7 +301,8 @@ def contaminated():
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, without the contaminated documents."""
+    """The rows of ``docs``, all columns unchanged, without the contaminated documents.  Null and empty texts stay;
+    repeated rows stay or go together; columns may have any names; an empty table stays empty."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = decontaminate(docs, items, slack=0, **options).where(contaminated()).select(F.col("doc_id").alias("__bad_id"), F.col("doc_key").alias("__bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]) & (F.xxhash64(docs[text_col], docs[text_col].isNull()) == bad["__bad_key"]), "left_anti")
+    bad = decontaminate(docs, items, slack=0, **options).where(contaminated()).select(F.col("doc_id").alias("f_id"), F.col("doc_key").alias("f_key")).distinct()
+    return drop_keys(docs, id_col, text_col, bad)
