@@ -4,8 +4,9 @@ A logistic regression on surface measures of a text gives its own evidence.
 The mean evidence of a path is shrunk towards that of its host, and a host's
 towards that of the whole corpus; how strongly is estimated from how much hosts
 and paths differ at all.  A document's posterior adds to its own log odds what
-its site's log odds exceed the corpus's.  Site statistics are sums, formed by
-grouped aggregation with partial sums, and sites are joined, not collected.
+its site's log odds exceed the corpus's, where the document itself is left out of
+its site, as its evidence would else count twice.  Site statistics are sums, formed
+by grouped aggregation with partial sums, and sites are joined, not collected.
 """
 
 from __future__ import annotations
@@ -60,10 +61,12 @@ def surface(column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior_good: float = 0.5) -> Classifier:
     """Fit on at most ``max_rows`` labelled rows, those with the least hash of the id; each in whole.  Without both
-    classes every text gets even odds.  prior_good: share of good texts that the bias is set for."""
+    classes every text gets even odds.  An id that several rows have stands for one of its texts.  prior_good: share
+    of good texts that the bias is set for."""
     stated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = stated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("quality").cast("int").alias("quality"))
+    named = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = named.select("text", F.col("quality").cast("int").alias("quality"))
 
     def run(batches):
         for batch in batches:
@@ -110,10 +113,11 @@ def _strength(groups: DataFrame, centre: Column, cap: float) -> float:
 
 def posteriors(scored: DataFrame, cap: float = 1000.0, threshold: float = 0.5) -> DataFrame:
     """One row per document: doc_id, host, path, doc_quality (its own evidence), path_quality, host_quality, quality
-    (posterior) and kept.
+    (posterior) and kept.  path_quality and host_quality are those of the other documents of the site.
 
-    Null hosts and paths are one site each.  A site of one document is close to its prior; an empty table gives an
-    empty result.  cap: greatest prior strength, in documents.
+    Null hosts and paths are one site each.  The only document of a path has its host's quality, the only one of a host
+    the corpus's; repeated rows are documents of their own; a null or empty text is scored as an empty one, ties at the
+    threshold are kept; an empty table gives an empty result.  cap: greatest prior strength, in documents.
     """
     p = 1 / (1 + F.exp(-F.col("log_odds")))
     paths = cut(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")))
@@ -121,16 +125,19 @@ def posteriors(scored: DataFrame, cap: float = 1000.0, threshold: float = 0.5) -
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     base = float(total["s"] / total["n"]) if total["n"] else 0.5
     k_host = _strength(hosts, F.lit(base), cap)
-    host_mean = ((F.col("s") + k_host * base) / (F.col("n") + k_host)).alias("host_quality")
-    host_level = hosts.select(F.col("host").alias("__host"), host_mean)
-    sites = paths.join(host_level, paths["host"] == host_level["__host"]).drop("__host")
-    k_path = _strength(sites, F.col("host_quality"), cap)
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_quality", ((F.col("s") + k_path * F.col("host_quality")) / (F.col("n") + k_path)).alias("path_quality"))
+    level = hosts.select(F.col("host").alias("__host"), F.col("n").alias("__hn"), F.col("s").alias("__hs"))
+    mean = (F.col("__hs") + k_host * base) / (F.col("__hn") + k_host)
+    sites = paths.join(level, paths["host"] == level["__host"])
+    k_path = _strength(sites.select("n", "s", "q", mean.alias("centre")), F.col("centre"), cap)
+    sites = sites.select("__host", F.col("path").alias("__path"), F.col("n").alias("__n"), F.col("s").alias("__s"), "__hn", "__hs")
     odds = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    joined = scored.join(sites, (scored["host"] == sites["__host"]) & (scored["path"] == sites["__path"]))
+    joined = scored.join(sites, (scored["host"] == sites["__host"]) & (scored["path"] == sites["__path"])).withColumn("__p", p)
+    others = (F.col("__hs") - F.col("__p") + k_host * base) / (F.col("__hn") - 1 + k_host)
+    joined = joined.withColumn("host_quality", others)
+    joined = joined.withColumn("path_quality", (F.col("__s") - F.col("__p") + k_path * F.col("host_quality")) / (F.col("__n") - 1 + k_path))
     z = F.col("log_odds") + odds(F.col("path_quality")) - odds(F.lit(base))
     quality = 1 / (1 + F.exp(-z))
-    return joined.select("doc_id", "host", "path", p.alias("doc_quality"), "path_quality", "host_quality", quality.alias("quality"), (quality >= threshold).alias("kept"))
+    return joined.select("doc_id", "host", "path", F.col("__p").alias("doc_quality"), "path_quality", "host_quality", quality.alias("quality"), (quality >= threshold).alias("kept"))
 
 
 def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_rows: int = 20_000) -> DataFrame:
