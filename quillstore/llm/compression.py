@@ -120,7 +120,8 @@ def compression_bands(docs: DataFrame, limits: Limits | None = None, id_col: str
     """One row per document: its id, the measures and the verdict ``kept``.
 
     Narrow: no shuffle, memory bounded by one Arrow batch.  A null or empty text has no words, so it fails the
-    base rules; repeated rows are judged alike; an empty table gives an empty result.
+    base rules; repeated rows are judged alike; a ratio equal to a limit is inside; a long text is one row of a batch; an
+    empty table gives an empty result; other columns are not looked at.
     """
     limits = limits or Limits()
     bounded_batches(docs.sparkSession)
@@ -137,6 +138,7 @@ def compression_bands(docs: DataFrame, limits: Limits | None = None, id_col: str
 
 
 def keep_compressible(docs: DataFrame, limits: Limits | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose text is kept; columns may have any names."""
+    """The rows of ``docs``, all columns unchanged, whose text is kept (see ``compression_bands``); columns may have any
+    names; an empty table stays empty."""
     limits = limits or Limits()
     return filter_rows(docs, text_col, lambda column: measure(column, limits)["kept"])

@@ -271,7 +271,11 @@ def _open(shared):
 
 
 def identify(docs: DataFrame, model: Model, options: Options | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred, score (0 to 1).  Only the text is looked at."""
+    """One row per document: doc_id, lang_pred, score (0 to 1).  Only the text is looked at.
+
+    A null or empty text, or one without letters, is ``und`` with score 0, and so is each if the model knows no
+    language; ties go to the first language by name; repeated rows are predicted each; an empty table gives no rows; a
+    long text is one row, cut into segments that advance side by side."""
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     shared = _shared(docs, model, options or Options())
 
@@ -315,7 +319,8 @@ def spans(docs: DataFrame, model: Model, options: Options | None = None, id_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, options: Options | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, whose language can be told."""
+    """The rows of ``docs``, all columns unchanged, whose language can be told: null and empty texts and texts without
+    letters go; repeated rows stay or go together; columns may have any names; an empty table stays empty."""
     shared = _shared(docs, model, options or Options())
 
     def verdicts(column):

@@ -125,7 +125,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, w
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     Each id of each document (its text's ids, then end_id) lies in exactly one piece; sequences are numbered from 0
-    and hold at most ``window`` ids.  Repeated rows are packed each; an empty table gives no pieces.
+    and hold at most ``window`` ids.  A null or empty text is its end id; repeated rows are packed each; pieces of one
+    length take their places by the input's order; a long text gives as many pieces as it needs; an empty table gives
+    none; other columns are not looked at.
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

@@ -64,5 +64,50 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
+#: What the chat template makes of a column: see ``chat.escape``.
+ESCAPED = r"""regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(\||/?s>)', '<\\\1', 'g'), '\[(/?INST\]|/?SYS\])', '[\\\1', 'g')"""
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS before FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY before)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY before) FILTER (role = 'assistant'), '')) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY before) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({ESCAPED.format("role")}) + length({ESCAPED.format("text")}) + 23) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples,
+       CAST(coalesce(sum(before) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_turns
+FROM n GROUP BY conv_id"""
+
+OP8 = rf"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+               UNION ALL SELECT 'b', item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+wanted AS (SELECT DISTINCT id AS item, w[i:i + 12] AS win FROM words, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE kind = 'b' AND len(w) > 0),
+sizes AS (SELECT DISTINCT len(win) AS size FROM wanted),
+placed AS (SELECT id, i, w[i:i + size - 1] AS win FROM words, sizes, unnest(range(1, len(w) - size + 2)) AS u(i) WHERE kind = 'd'),
+found AS (SELECT p.id, p.i, len(p.win) AS size, b.item FROM placed p JOIN wanted b ON p.win = b.win),
+hits AS (SELECT id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT id, i, size FROM found), unnest(range(0, size)) AS u(k) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM found) GROUP BY id)
+SELECT d.id AS doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM words d LEFT JOIN hits h ON d.id = h.id LEFT JOIN items s ON d.id = s.id WHERE d.kind = 'd'"""
+
+OP9 = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, w[i:i + 2] AS s FROM words, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, hash(list(s ORDER BY s)) AS name FROM shingles GROUP BY doc_id),
+class AS (SELECT name, min(doc_id) AS rep, any_value(n) AS n FROM n GROUP BY name),
+own AS (SELECT s.doc_id AS rep, s.s FROM shingles s SEMI JOIN class c ON s.doc_id = c.rep),
+links AS (SELECT x.rep AS a, y.rep AS b FROM own x JOIN own y ON x.s = y.s AND x.rep <> y.rep JOIN class c ON c.rep = x.rep JOIN class d ON d.rep = y.rep
+          GROUP BY x.rep, y.rep, c.n, d.n HAVING 100 * count(*) >= 90 * (c.n + d.n - count(*))),
+reach AS (SELECT rep AS a, rep AS b FROM class UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+root AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.root, w.doc_id) AS component_id
+FROM words w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN class c ON c.name = n.name LEFT JOIN root ON root.a = c.rep"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """Those that SQL can express; the others are tested against brute-force versions."""
+    return {"op1_prefix_target_chat": OP1, "op8_benchmark_decontamination": OP8, "op9_ngram_jaccard_join": OP9}

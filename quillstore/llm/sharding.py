@@ -61,8 +61,10 @@ def walk(counts: dict[int, int], owner: np.ndarray, room: list[int]) -> list[tup
 def shard_rows(docs: DataFrame, shards: int = 16, points: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes and one), text_crc32, arc, shard, slot (0, 1, ... in a shard).
 
-    Sizes of any two shards differ by one row at most, whatever the keys: rows of one repeated or null key share an
-    arc and overflow from it like others.  A null text counts as empty.
+    Numbers of rows of any two shards differ by one at most, whatever the keys (law ``rows``): rows of one repeated or
+    null key share an arc and overflow from it like others.  Equal texts are not kept together, as a third of all rows
+    may be one text; they are told by text_crc32 and size.  A null text counts as empty; a long one is one row; which
+    rows of an arc overflow follows the input's order; an empty table gives no rows; other columns are not looked at.
     """
     slim = docs.select(
         docs[id_col].alias("doc_id"),
