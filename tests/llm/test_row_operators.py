@@ -52,7 +52,8 @@ def test_chat_round_trip_of_hostile_texts(spark):
     examples = chat.explode_examples(formatted).collect()
     assert len(examples) == sum(r[2] == "assistant" for r in rows)
     whole = {r.conv_id: r.formatted for r in formatted.collect()}
-    assert all(whole[e.conv_id].startswith(e.context + e.target) for e in examples)
+    assert all(whole[e.conv_id].startswith(e.context + e.target) and len(e.context) == e.context_chars for e in examples)
+    assert sum(r.context_turns for r in chat.digest(formatted).collect()) == sum(e.turn for e in examples)
     assert chat.digest(chat.format_conversations(df.where("false"))).count() == 0
 
 
@@ -62,18 +63,19 @@ def test_chat_round_trip_of_hostile_texts(spark):
 def test_licences_against_brute_force(spark, odd_docs, no_docs):
     model = license_scan.fit()
     texts = ["Licensed under the Apache License, Version 2.0.\nnothing here", "He lost his driving licence.\nReleased under the MIT License.", None, "", "Released under the MIT License.\n" * 2, "copyright " * 300]
+    texts += ["Some code,\nreleased under the terms of the GNU Lesser\nGeneral Public License\n\nLicense: MIT", "License: MIT\r\nnext", "Licensed under\n\nthe MIT License."]
     texts += [t for _, t in license_scan.table()[::29]]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "SPDX-License-Identifier: GPL-3.0")]
     df = spark.createDataFrame([(i, t, "x", 0.5) for i, t in rows], "doc_id long, text string, family string, probability double")
     out = license_scan.scan(df, model)
     expected = []
     for i, t in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            if re.search(license_scan.ANCHOR, line):
-                family, p = license_scan.python_predict(model, line)
-                if family != license_scan.UNKNOWN and p >= model.threshold:
-                    expected.append((str(i), n, family, round(p, 4)))
-    assert sorted((str(r.doc_id), r.paragraph, r.family, round(r.probability, 4)) for r in out.collect()) == sorted(expected)
+        for n, line in enumerate(license_scan.python_paragraphs(t)):
+            family, p = license_scan.python_predict(model, line)
+            if family != license_scan.UNKNOWN and p >= model.threshold:
+                alike = license_scan.python_similarity(model, line, family)
+                expected.append((str(i), n, family, round(p, 4), round(alike, 6), alike >= 0.5, family if alike >= 0.5 else "unknown"))
+    assert sorted((str(r.doc_id), r.paragraph, r.family, round(r.probability, 4), round(r.similarity, 6), r.confirmed, r.verdict) for r in out.collect()) == sorted(expected)
     assert {"Apache", "MIT", "GPL"} <= {r.family for r in out.collect()} and not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
     assert license_scan.scan(odd_docs, model).count() == 0 and license_scan.scan(no_docs, model).count() == 0
 
@@ -97,9 +99,20 @@ def test_telling_words_skip_nothing_that_can_be_named():
 
 
 def test_licence_model_on_held_out_notices():
-    model = license_scan.fit()
-    rows = [r for i, r in enumerate(license_scan.table()) if i % 4 == 3]
-    assert sum(license_scan.python_predict(model, t)[0] == f for f, t in rows) >= 0.95 * len(rows)
+    rows = license_scan.table()
+    held = license_scan.held_out(rows)
+    model = license_scan.fit(train=~held)
+    unseen = dict.fromkeys(r for r, out in zip(rows, held, strict=True) if out)
+    assert not {t for _, t in unseen} & {t for (_, t), out in zip(rows, held, strict=True) if not out}
+    assert sum(license_scan.python_predict(model, t)[0] == f for f, t in unseen) >= 0.95 * len(unseen)
+
+
+def test_every_notice_of_the_table_is_found(spark):
+    rows = list(dict.fromkeys(license_scan.table()))
+    texts = [(i, f"Some words before it.\n{t}\n\nAnd some more.") for i, (_, t) in enumerate(rows)]
+    got = {(r.doc_id, r.paragraph): r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, (f, _) in enumerate(rows):
+        assert (i, 1) not in got if f == license_scan.UNKNOWN else (got[i, 1].family, got[i, 1].verdict) == (f, f)
 
 
 def test_licences_in_documents(spark, sf_dir):
@@ -201,9 +214,10 @@ def test_posteriors_against_brute_force(spark):
     kp = strength(paths, lambda g: host[g[0]])
     odds = lambda x: math.log(x / (1 - x))
     for i, h, q, z in rows:
-        path = (sum(paths[h, q]) + kp * host[h]) / (len(paths[h, q]) + kp)
+        of_host = (sum(hosts[h]) - p[i] + kh * base) / (len(hosts[h]) - 1 + kh)
+        path = (sum(paths[h, q]) - p[i] + kp * of_host) / (len(paths[h, q]) - 1 + kp)
         quality = 1 / (1 + math.exp(-(z + odds(path) - odds(base))))
-        assert abs(got[i].path_quality - path) < 1e-9 and abs(got[i].host_quality - host[h]) < 1e-9 and abs(got[i].quality - quality) < 1e-9
+        assert abs(got[i].path_quality - path) < 1e-9 and abs(got[i].host_quality - of_host) < 1e-9 and abs(got[i].quality - quality) < 1e-9
 
 
 def test_site_quality_odd_rows(spark, odd_docs, no_docs, odd_rows):
@@ -275,7 +289,37 @@ def test_html_short_paragraphs_and_long_boilerplate():
         assert html_extract.main_text(page, tree) == "\n\n".join(["Title of it", LONG, short[0], LONG])
 
 
+def test_html_boilerplate_of_any_length():
+    tree = html_extract.grow(*html_extract.labelled_table())
+    words = lambda kind, n: " ".join([kind] * n)
+    inner = f"<h1>Title</h1><p>{words('main', 60)}</p><p>{words('main', 8)}</p><p>{words('main', 50)}</p>"
+    text = "\n\n".join(["Title", words("main", 60), words("main", 8), words("main", 50)])
+    for main in (f"<article>{inner}</article>", f"<div>{inner}</div>"):
+        for n in (1, 3, 10, 40, 120, 500):
+            for start, end in (("<section class=comments><p>", "</p></section>"), ("<aside class=sidebar><p>", "</p></aside>"), ("<div class=advert><p>", "</p></div>"), ("<form><p>", "</p></form>"), ("<footer><h4>", "</h4></footer>"), ("<nav><p>", "</p></nav>"), ("<div class='cookie-notice'>", "</div>")):
+                other = start + words("drop", n) + end
+                assert html_extract.main_text(main + other, tree) == html_extract.main_text(other + main, tree) == text
+
+
+def test_html_links_and_names_inside_articles():
+    tree = html_extract.grow(*html_extract.labelled_table())
+    assert html_extract.main_text(f"<nav><a>Home</a></nav><div><p>{LONG}</p><p>{LONG}</p></div>", tree) == f"{LONG}\n\n{LONG}"
+    links = "<ul><li><a href=/a>One two three</a></li><li><a href=/b>Four five</a></li><li><a href=/c>Six</a></li></ul>"
+    for after in (f"<p>{LONG}</p>", "<p>Short end.</p>"):
+        assert html_extract.main_text(f"<article><p>{LONG}</p>{links}{after}</article>", tree) == f"{LONG}\n\n{after[3:-4]}"
+    for tag in ("article", "div"):  # text between links
+        between = f"<{tag}><p>{LONG}</p>{links}<p>{LONG}</p>{links}<p>{LONG}</p></{tag}>"
+        assert html_extract.main_text(between, tree) == "\n\n".join([LONG] * 3)
+    kept = f"<article><p>{LONG}</p><p><a href=/r>The whole report of it</a></p><p>{LONG}</p></article>"
+    assert html_extract.main_text(kept, tree) == f"{LONG}\n\nThe whole report of it\n\n{LONG}"
+    named = f"<article><p>{LONG}</p><div class='content warning-box'><p>Take care.</p></div><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section><div class='related-posts'><p>{LONG}</p></div></article>"
+    assert html_extract.main_text(named, tree) == f"{LONG}\n\nTake care.\n\nRelated work\n\n{LONG}"
+
+
 def test_tree_fits_its_table():
+    x, _ = html_extract.labelled_table()
+    used = lambda t: set() if isinstance(t, bool) else {html_extract.FEATURES[t[0]]} | used(t[2]) | used(t[3])
+    assert {"links", "links_before", "links_after", "words"} <= used(html_extract.grow(*html_extract.labelled_table()))
     x, y = html_extract.labelled_table()
     assert (html_extract.judge(html_extract.grow(x, y), x) == y).mean() > 0.98
 
@@ -312,8 +356,9 @@ def test_compression_against_brute_force(spark, sf_dir, odd_docs, odd_rows, no_d
             squeeze = lambda b: len(zstandard.ZstdCompressor(level=limits.level).compress(b))
             ratio = len(raw) / squeeze(raw) if raw else 1.0
             low, high = next((a, b) for n, a, b in limits.bands if len(raw) <= n)
-            whole = [raw[x : x + 4096] for x in range(0, len(raw) - 4095, 4096)]
-            bad = sum(not limits.chunk_low <= 4096 / squeeze(c) <= limits.chunk_high for c in whole) / max(1, len(whole))
+            chunks = [raw[x : x + 4096] for x in range(0, len(raw), 4096)]
+            limit = lambda c: (limits.chunk_low, limits.chunk_high) if len(c) == 4096 else next((a, b) for n, a, b in limits.bands if len(c) <= n)
+            bad = sum(len(c) for c in chunks if not limit(c)[0] <= len(c) / squeeze(c) <= limit(c)[1]) / max(1, len(raw))
             base = base_measures(t)
             expected.append((i, *base, not base[-1] and low <= ratio <= high and bad < limits.bad_chunk_share))
         assert got == sorted(expected, key=repr)

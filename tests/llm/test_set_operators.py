@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstore.llm import bpe, decontam, ngram_join, packing, queries, sharding
 
@@ -208,13 +209,9 @@ def test_decontamination_query(spark, sf_dir):
 @pytest.mark.parametrize("block_bytes", [8 << 20, 1500])
 def test_decontamination_odd_rows(spark, odd_docs, odd_rows, no_docs, block_bytes):
     long = [t for _, t in odd_rows if t and len(t.split()) > 25]
-    items = [(1, long[0]), (2, " ".join(long[1].split()[3:20])), (3, "a b"), (4, None), (5, ""), (6, " ".join(long[2].split()[:13]).upper()), (7, long[0]), (None, long[3]), (10, "a")]
+    items = [(1, long[0]), (2, " ".join(long[1].split()[3:20])), (3, "a b"), (4, None), (5, ""), (6, " ".join(long[2].split()[:13]).upper()), (7, long[0]), (None, long[3]), (10, "a"), (2, long[4]), (7, long[0]), (None, long[5])]
     df = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
-    if block_bytes > 2000:
-        items = [x if x[0] is not None else (0, x[1]) for x in items]
-        df = df.fillna({"item_id": 0})
-    else:
-        items, df = [x for x in items if x[0] is not None], df.where("item_id is not null")
+    items = [("null" if i is None else i, t) for i, t in items]
     assert digests(decontam.decontaminate(odd_docs, df, block_bytes=block_bytes)) == brute_decontamination(odd_rows, items)
     assert decontam.decontaminate(no_docs, df).count() == 0
     assert decontam.digest(decontam.decontaminate(odd_docs, df.where("false"))).where("contaminated or n_items > 0").count() == 0
@@ -311,6 +308,49 @@ def test_a_large_group_of_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == expected
 
 
+def test_near_copies_around_a_stranger(spark):
+    """2000 near copies whose hub is none of them: what comparisons give back does not grow with the pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    o, rnd = ngram_join.Options(block_bytes=1 << 20), np.random.default_rng(5)
+    base = np.sort(rnd.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rnd.choice(base, 294, replace=False), rnd.integers(0, 1 << 62, 6).astype(np.uint64)])) for _ in range(2000)]
+    sets.append(np.unique(rnd.integers(0, 1 << 62, 300).astype(np.uint64)))  # the stranger
+    rows = [(7, i, len(x), i, ngram_join.sketch(x, ngram_join.sketch_words(len(x), o)).tolist(), i == 2000) for i, x in enumerate(sets)]
+    around = spark.createDataFrame(rows, ngram_join.AROUND).repartition(4).cache()
+    elements = spark.createDataFrame(pa.table({"row": np.arange(len(sets)), "elements": [x.tobytes() for x in sets]}))
+    give = lambda some: elements.join(some, "row", "left_semi")
+    assert ngram_join.linked(around, ngram_join.deal_star, give, o).count() == 0
+    links = ngram_join.linked(around.where("not centre"), ngram_join.deal_across, give, o)
+    dealt = ngram_join.deal_across(around.where("not centre"), 8 * F.col("n") + 8 * F.size("sketch") + 64, o.block_bytes)
+    assert dealt.select("task").distinct().count() > 1 and links.count() < dealt.count()
+    at_once = {(a, b) for a, b in links.collect()}
+    assert all(10 * len(np.intersect1d(sets[a], sets[b])) >= 9 * len(np.union1d(sets[a], sets[b])) for a, b in at_once)
+    roots = ngram_join.components(links).select("root").distinct().count()
+    full = {(i, j) for i in range(0, 2000, 397) for j in range(2000) if i != j and 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
+    root_of = {r.row: r.root for r in ngram_join.components(links).collect()}
+    assert full and all(root_of[i] == root_of[j] for i, j in full) and 1 <= roots < 2000
+    # Once the copies are one root, their blocks are not paired with each other.
+    one = around.where("not centre").withColumn("root", F.when(F.col("row") < 1990, 0).otherwise(F.col("row")))
+    assert ngram_join.deal_across(one, F.lit(4096), o.block_bytes).count() < 3 * 2000
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from quillstore.llm.common import broadcast_hot, maybe_among
+
+    left = spark.range(5000).select((F.col("id") % 3 * F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1)).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("k <> 2")
+    total, most = right.agg(F.sum("size"), F.max("size")).first()
+    for how in ("inner", "left"):
+        a, b = (sorted(map(tuple, x.select("k", "id", "size").collect()), key=repr) for x in (broadcast_hot(left, right, ["k"], "size", total, most, how), left.join(right, "k", how)))
+        assert a == b
+    keys = left.where("id < 40").select(F.xxhash64("id").alias("h"))
+    some, others = maybe_among(left, F.xxhash64("id"), keys, 40, rest=True)
+    assert some.where("id < 40").count() == 40 and some.count() < 60 and some.count() + others.count() == 5000
+    assert maybe_among(left, F.xxhash64("id"), keys.where("false"), 0).count() == 0
+
+
 def test_chains_are_followed(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     got = {r.row: r.root for r in ngram_join.components(links).collect()}
@@ -337,8 +377,32 @@ def test_pipeline(spark, sf_dir, tokenizer, odd_docs, no_docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     clean = {r[0] for r in brute_decontamination(rows, items) if not r[-1]}
     check_pieces([r for r in rows if r[0] in clean], C.run(spark, sf_dir).collect(), tokenizer)
+    odd = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    kept = {
+        "language ID": sum(any(c.isalpha() for c in t or "") for _, t in odd),
+        "quality rules": compression.compression_bands(odd_docs).where("kept").count(),
+        "n-gram Jaccard join": brute_join(odd, OPTIONS[1])[2],
+        "benchmark decontamination": len(odd),
+    }
     for name, stage in C.STAGES:
         out = stage(spark, odd_docs, sf_dir)
-        assert out.count() >= 0 and stage(spark, no_docs, sf_dir).count() == 0
-        if name != "packing":
-            assert out.columns == odd_docs.columns
+        assert stage(spark, no_docs, sf_dir).count() == 0
+        if name == "packing":
+            check_pieces(odd, out.collect(), tokenizer)
+        else:
+            assert out.columns == odd_docs.columns and out.count() == kept[name]
+
+
+def test_queries_with_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, sf_dir)
+        want = con.execute(sql)
+        names = sorted(d[0] for d in want.description)
+        at = [[d[0] for d in want.description].index(c) for c in names]
+        assert sorted(got.columns) == names
+        assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall()), name
