@@ -191,7 +191,8 @@ class Writer:
                 pairs = pairs.unionByName(f)
         else:
             pairs = load_ops.insert_text(self.spark.createDataFrame([], "key string, value string, key_type int, src_idx int, src_block bigint, src_ord bigint"))
-        ts = self.store.publish(self.name, pairs, self.kind, self.offset_bits, self.max_load_factor, self.slots, timestamp)
+        words = self.words.frame(self.spark) if self.words.finished else None
+        ts = self.store.publish(self.name, pairs, self.kind, self.offset_bits, self.max_load_factor, self.slots, timestamp, words=words)
         self.closed = True
         return ts
 

@@ -1,4 +1,4 @@
-"""The two functions that no built-in expresses, as Arrow UDFs: XXH3-64 and C's hexadecimal integers."""
+"""The function that no built-in expresses, as an Arrow UDF: XXH3-64."""
 
 from __future__ import annotations
 
@@ -22,24 +22,3 @@ def xxh3_64(key) -> Column:
 def found_hash(key, exists) -> Column:
     """The hash of a key that is there, else 0."""
     return F.when(exists, xxh3_64(key)).otherwise(F.lit(0).cast("bigint"))
-
-
-def _lenient(values: pa.Array) -> pa.Array:
-    import re
-
-    out = []
-    for v in values.to_pylist():
-        m = re.fullmatch(r"[ \t\n\x0b\f\r]*([+-]?)0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)([pP][+-]?[0-9]+)?", v or "")
-        try:
-            out.append(float.fromhex(f"{m[1]}0x{m[2]}{m[3] or ''}") if m else None)
-        except OverflowError:
-            out.append(float("-inf") if m[1] == "-" else float("inf"))
-    return pa.array(out, pa.float64())
-
-
-def lenient_double_udf(value) -> Column:
-    """``to_double_lenient`` that also reads hexadecimal numbers without an exponent."""
-    from .scalars import to_double_lenient
-
-    v = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.arrow_udf(_lenient, "double")(v), to_double_lenient(v))

@@ -14,7 +14,8 @@ from ..types import FLOAT_SEPARATOR, LIST_FLAG, LIST_SEPARATOR
 
 BLANKS = " \t\f\x0b\n\r"
 DECIMAL = r"([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
-HEX_FLOAT = r"0[xX]([0-9a-fA-F]+[.]?[0-9a-fA-F]*|[.][0-9a-fA-F]+)[pP][+-]?[0-9]+"
+HEX = r"0[xX]([0-9a-fA-F]+[.]?[0-9a-fA-F]*|[.][0-9a-fA-F]+)"
+HEX_FLOAT = HEX + r"[pP][+-]?[0-9]+"
 FLOAT_MAX = 3.4028234663852886e38
 
 
@@ -165,12 +166,11 @@ def to_double(value) -> Column:
 
 
 def to_double_lenient(value) -> Column:
-    """As ``to_double``; then also leading blanks, a plus, hexadecimal floats with an exponent, and overflow to infinity.
-
-    A hexadecimal integer without exponent gives 0 here; ``hashing.lenient_double_udf`` reads it too."""
+    """As ``to_double``; then also leading blanks, a plus, hexadecimal numbers, and overflow to infinity."""
     v = col(value)
     bare = F.ltrim(v, F.lit(BLANKS))
-    number = F.when(v.rlike(rf"^[ \t\n\x0B\f\r]*[+-]?({DECIMAL}|{HEX_FLOAT})\z"), bare.try_cast("double"))
+    whole = F.when(bare.rlike(rf"^[+-]?{HEX}\z"), F.concat(bare, F.lit("p0"))).otherwise(bare)  # an exponent that Java asks for
+    number = F.when(v.rlike(rf"^[ \t\n\x0B\f\r]*[+-]?({DECIMAL}|{HEX_FLOAT}|{HEX})\z"), whole.try_cast("double"))
     return F.coalesce(_words(v, "-"), _words(bare, "+-"), number, F.lit(0.0))
 
 

@@ -86,6 +86,7 @@ class DictionaryBuilder:
         """(idx, s, fl): Strings as bytes and float lists as floats, for matching in their own columns."""
         if not self.finished:
             raise StoreError("the dictionary is not finished")
-        rows = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(self.values)], "idx int, text string, t int")
+        first = dict.fromkeys(self.values)  # equal values keep their first position
+        rows = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(first)], "idx int, text string, t int")
         floats = F.col("t") == int(ValueType.FloatList)
         return rows.select("idx", F.when(~floats, F.col("text").cast("binary")).alias("s"), F.when(floats, S.dictionary_floats("text")).alias("fl"))

@@ -137,35 +137,69 @@ def check_config(kind: CacheKind, offset_bits: int, max_load_factor: float) -> N
         raise LimitError(f"load factor {max_load_factor} is more than {MAX_LINEAR_LOAD_FACTOR}")
 
 
+def ranged(rows: DataFrame, order: Column, **per_range: Column) -> tuple[DataFrame, list]:
+    """(rows with ``__at``, their order, and ``__range``, the number of a range of it; one summary per range that has rows,
+    ascending: __range, least, n and what ``per_range`` aggregates).
+
+    The bounds are values of the order, chosen by Spark's range partitioning and fixed before the rows are dealt, so a
+    lost task deals them alike.  The driver holds one summary per range, as many as the session has shuffle partitions.
+    """
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = rows.select("*", order.alias("__at"))
+    dealt = at.repartitionByRange(n, "__at").withColumn("__range", F.spark_partition_id())
+    found = dealt.groupBy("__range").agg(F.min("__at").alias("least"), F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in per_range.items())).orderBy("least").collect()
+    # Null orders come first and stay in the first range.
+    bounds = [r["least"] for r in found[1:]]
+    if not bounds:
+        return at.withColumn("__range", F.lit(0)), found
+    kind = at.schema["__at"].dataType
+    literals = F.array(*(_literal(b, kind) for b in bounds))
+    return at.withColumn("__range", F.coalesce(F.size(F.filter(literals, lambda b: b <= F.col("__at"))), F.lit(0))), found
+
+
+def _literal(value, kind) -> Column:
+    if hasattr(kind, "fields"):
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)))
+    return F.lit(value).cast(kind)
+
+
+def _carried(rows: DataFrame, values: list, schema: str) -> DataFrame:
+    """Rows joined with one value per range, a table of as many rows as there are ranges."""
+    table = rows.sparkSession.createDataFrame(list(enumerate(values)), f"__range int, {schema}")
+    return rows.join(F.broadcast(table), "__range", "left")
+
+
 def within_capacity(pairs: DataFrame, slots: int, max_load_factor: float, order: Column | None = None) -> DataFrame:
     """Records that arrive before the key space is full; the check comes before the duplicate check, so once it is full
     duplicates are refused too.
 
-    The full point is the load-order position of the last key that fits: found from one row per key (top-N with
-    partial results), not by ordering all records.
+    The full point is the load-order position of the last key that fits: first positions of keys are counted by range
+    of the order, and only the range in which the space fills up is sorted.
     """
     capacity = int(slots * max_load_factor)
+    if capacity <= 0:
+        return pairs.limit(0)
     order = load_order(pairs) if order is None else order
     at = pairs.select("*", order.alias("__at"))
     firsts = at.groupBy("key").agg(F.min("__at").alias("__first"))
-    if capacity <= 0:
-        return pairs.limit(0)
-    top = firsts.orderBy("__first").limit(capacity).agg(F.max("__first").alias("__last"), F.count(F.lit(1)).alias("__n"))
-    kept = at.join(F.broadcast(top), (F.col("__n") < capacity) | (F.col("__at") <= F.col("__last")))
-    return kept.drop("__at", "__last", "__n")
+    dealt, found = ranged(firsts.select("__first"), F.col("__first"))
+    before = 0
+    for number, r in enumerate(found):
+        if before + r["n"] >= capacity:
+            last = dealt.where(F.col("__range") == number).orderBy("__first").limit(capacity - before).agg(F.max("__first").alias("__last"))
+            return at.join(F.broadcast(last), F.col("__at") <= F.col("__last")).drop("__at", "__last")
+        before += r["n"]
+    return pairs
 
 
 def require_capacity(pairs: DataFrame, slots: int, max_load_factor: float) -> None:
     """Raise if the distinct keys outgrow the key space (an action)."""
-    capacity = int(slots * max_load_factor)
-    if pairs.select("key").distinct().limit(capacity + 1).count() > capacity:
+    if pairs.select("key").distinct().count() > int(slots * max_load_factor):
         raise KeySpaceFullError("keySpace is full")
 
 
-def require_offset_bits(pairs: DataFrame, offset_bits: int, slots: int) -> None:
-    """Raise if the records' bytes outgrow the offset width (an action)."""
-    check_config(CacheKind.LINEAR_PROBE, offset_bits, 0.5)
-    size = pairs.agg(F.coalesce(F.sum((F.octet_length("key") + encoded_bytes() + 6).cast("bigint")), F.lit(0))).first()[0]
+def check_offset_bits(size: int, offset_bits: int, slots: int) -> None:
+    """Raise if that many bytes of records, with a slot of eight bytes each, outgrow the offset width."""
     if size + slots * 8 >= 1 << offset_bits:
         raise OffsetBitsError(f"offset bits {offset_bits} too short")
 
@@ -211,11 +245,21 @@ def insert_text(rows: DataFrame, key="key", value="value", key_type="key_type")
 
 
 def drop_consecutive(rows: DataFrame, order: Column, key: str = "key", within: str | None = None) -> DataFrame:
-    """Leave out a record whose key equals that of the record before it.  Records are compared inside ``within`` (such
-    as a source or a range of the order), or over the whole input, which takes one task."""
-    w = (W.partitionBy(within) if within else W).orderBy(order)
-    before = F.lag(F.struct(key)).over(w)
-    return rows.withColumn("__before", before).where(F.col("__before").isNull() | ~F.col("__before")[key].eqNullSafe(F.col(key))).drop("__before")
+    """Leave out a record whose key equals that of the record before it.
+
+    Records are compared inside ``within`` (such as a source), or over the whole input.  That is dealt by ranges of the
+    order, and each range gets the key that the one before ends with.
+    """
+    if within:
+        w = W.partitionBy(within).orderBy(order)
+        before = F.lag(F.struct(key)).over(w)
+        return rows.withColumn("__before", before).where(F.col("__before").isNull() | ~F.col("__before")[key].eqNullSafe(F.col(key))).drop("__before")
+    dealt, found = ranged(rows, order, last=F.max_by(F.struct(F.col(key).alias("k")), "__at"))
+    ends = [None, *(tuple(r["last"]) for r in found[:-1])] if found else []
+    dealt = _carried(dealt, ends, f"__end struct<k:{dict(rows.dtypes)[key]}>")
+    before = F.coalesce(F.lag(F.struct(F.col(key).alias("k"))).over(W.partitionBy("__range").orderBy("__at")), F.col("__end"))
+    marked = dealt.withColumn("__before", before)
+    return marked.where(F.col("__before").isNull() | ~F.col("__before")["k"].eqNullSafe(F.col(key))).select(rows.columns)
 
 
 def drop_empty_typed(rows: DataFrame, value: str = "value", vtype: str = "vtype") -> DataFrame:
@@ -246,14 +290,40 @@ def dedup_runs(rows: DataFrame, order: Column, key: str = "key", prefix: Column
     prefix = F.substring_index(k, ".", 1) if prefix is None else prefix
     dotted = F.instr(k, ".") > 0
     sort = F.when(~dotted, "global").when(prefix == "", "never").otherwise("run")
-    over = (W.partitionBy(within) if within else W).orderBy("__at")
     tagged = rows.select("*", order.alias("__at"), sort.alias("__sort"), prefix.alias("__prefix"))
     runs = tagged.where("__sort = 'run'")
-    changed = runs.withColumn("__new", F.when(F.lag("__prefix").over(over).eqNullSafe(F.col("__prefix")), 0).otherwise(1))
-    numbered = changed.withColumn("__run", F.sum("__new").over(over.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
-    extra = [within] if within else []
-    one = W.partitionBy(*extra, "__run", key).orderBy("__at")
-    kept = numbered.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__run")
+    extra = [within] if within else ["__range"]
+    if within:
+        numbered = _run_starts(runs, extra, F.col("__at"))
+    else:
+        # Runs may cross ranges: each range gets the prefix that the one before ends with and where that run began.
+        dealt, _ = ranged(runs.drop("__at"), order)
+        local = _run_starts(dealt, extra, F.col("__at"))
+        ends = local.groupBy("__range").agg(
+            F.min_by("__prefix", "__at").alias("first"), F.max_by("__prefix", "__at").alias("last"), F.max("__run").alias("began"), F.countDistinct("__run").alias("runs"), F.max("__range").alias("r")
+        )
+        carry, last, began = {}, None, None
+        for r in sorted(ends.collect(), key=lambda r: r["r"]):
+            carry[r["r"]] = (last, began)
+            if r["runs"] > 1 or last is None or r["first"] != last:
+                began = r["began"]
+            last = r["last"]
+        known = [carry.get(i, (None, None)) for i in range(max(carry, default=-1) + 1)]
+        kind = local.schema["__at"].dataType.simpleString()
+        carried = _carried(dealt, [(p, None if a is None else a) for p, a in known], f"__end struct<p:string,a:{kind}>")
+        numbered = _run_starts(carried, extra, F.when(F.col("__end")["p"].eqNullSafe(F.col("__prefix")), F.col("__end")["a"]).otherwise(F.col("__at"))).drop("__end")
+    one = W.partitionBy(*([within] if within else []), "__run", key).orderBy("__at")
+    kept = numbered.withColumn("__n", F.row_number().over(one)).where("__n = 1")
     plain = tagged.where("__sort = 'global'")
-    first = plain.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("__at"))).where("__n = 1").drop("__n")
-    return kept.unionByName(first).unionByName(tagged.where("__sort = 'never'")).drop("__at", "__sort", "__prefix")
+    first = plain.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("__at"))).where("__n = 1")
+    return kept.select(rows.columns).unionByName(first.select(rows.columns)).unionByName(tagged.where("__sort = 'never'").select(rows.columns))
+
+
+def _run_starts(rows: DataFrame, groups: list[str], carried: Column) -> DataFrame:
+    """Adds ``__run``: where the run of a record begins.  carried: where the run of a group's first record begins, which may
+    be before the group."""
+    over = W.partitionBy(*groups).orderBy("__at")
+    first = F.row_number().over(over) == 1
+    begin = F.when(first, carried).when(~F.lag("__prefix").over(over).eqNullSafe(F.col("__prefix")), F.col("__at"))
+    marked = rows.withColumn("__begin", begin)
+    return marked.withColumn("__run", F.last("__begin", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, 0))).drop("__begin")

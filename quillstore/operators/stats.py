@@ -106,10 +106,3 @@ def same_value(a: str, b: str) -> Column:
         same = same & F.col(a)[c].eqNullSafe(F.col(b)[c])
     return same
 
-
-def observed(df: DataFrame, name: str = "load"):
-    """(frame, observation): counts rows as they pass, without another pass."""
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -3,6 +3,7 @@
 Layout under a root folder::
 
     <name>.<ms>.snapshot/            Parquet, partitioned by query id, sorted by key in its files
+    <name>.<ms>.dictionary/          Parquet (idx, s, fl): the values of an explicit dictionary, if one was given
     <name>.<ms>.manifest.json        one header row: counts, sizes, kind, times
     <name>.timestamp.latest          the newest version, written last
 
@@ -26,6 +27,7 @@ from ..types import SNAPSHOT, CacheKind, MalformedSnapshotError, NotFoundError,
 from .files import Files
 
 FORMAT_VERSION = 1
+DEFAULT_OFFSET_BITS = 35
 HASH_NAME = "xxh3"
 VERSION_NAME = "v2"
 VERSION = re.compile(r"(?P<name>.+)\.(?P<ms>[0-9]+)\.snapshot\Z")
@@ -49,6 +51,7 @@ class Manifest:
     format_version: int = FORMAT_VERSION
     version: str = VERSION_NAME
     hash_name: str = HASH_NAME
+    dictionary_entries: int = 0
 
     @property
     def max_number_entries(self) -> int:
@@ -74,6 +77,13 @@ def parse_version(file_name: str) -> tuple[str, int]:
     return m["name"], int(m["ms"])
 
 
+def _parse(text: str, file: str) -> Manifest:
+    try:
+        return Manifest(**json.loads(text))
+    except (ValueError, TypeError) as e:
+        raise MalformedSnapshotError(f"malformed manifest {file}") from e
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
@@ -86,20 +96,25 @@ class SnapshotStore:
         name: str,
         pairs: DataFrame,
         kind: CacheKind = CacheKind.LINEAR_PROBE_DEDUP_TYPED,
-        offset_bits: int = 35,
+        offset_bits: int | None = None,
         max_load_factor: float = 0.5,
         number_of_key_slots: int = 0,
         timestamp: int | None = None,
         latest: bool = True,
         bloom: bool = True,
         strict: bool = True,
+        words: DataFrame | None = None,
     ) -> int:
         """Load pairs (canonical columns and load order) into a new version; returns its timestamp.
 
-        strict: records over a limit fail the load, else they are left out.  Keys are sorted within files and carry a
-        Parquet bloom filter, so a point lookup reads few row groups.
+        strict: records over a limit fail the load, else they are left out.  offset_bits: fail if the records' bytes
+        outgrow that width; by default the least sufficient one is noted.  words: an explicit dictionary (idx, s, fl) for
+        kinds that have one, kept beside the version.  Keys are sorted within files and carry a Parquet bloom filter, so a
+        point lookup reads few row groups.
         """
-        load_ops.check_config(kind, offset_bits, max_load_factor)
+        load_ops.check_config(kind, DEFAULT_OFFSET_BITS if offset_bits is None else offset_bits, max_load_factor)
+        if words is not None and not kind.has_dictionary:
+            raise StoreError(f"kind {kind.name} has no dictionary")
         ts = int(time.time() * 1000) if timestamp is None else timestamp
         pairs = load_ops.enforce_limits(pairs) if strict else load_ops.split_by_limits(pairs)[0]
         if number_of_key_slots:
@@ -132,18 +147,38 @@ class SnapshotStore:
             if bloom:
                 writer = writer.option("parquet.bloom.filter.enabled#key", "true")
             writer.parquet(f"{self.root}/{staging}")
+            got = seen.get
+            slots = number_of_key_slots or int(got["unique"] / max_load_factor)
+            if offset_bits is None:
+                offset_bits = max(DEFAULT_OFFSET_BITS, (int(got["size"]) + 8 * slots).bit_length())
+            else:
+                load_ops.check_offset_bits(int(got["size"]), offset_bits, slots)
+            entries = 0
+            if words is not None:
+                words.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}.{ts}.dictionary")  # at most 65536 rows
+                entries = self.dictionary(name, ts).count()
             if not self.files.rename(staging, final):
                 raise StoreError(f"cannot publish {final}")
         except Exception:
             self.files.delete(staging)
+            self.files.delete(f"{name}.{ts}.dictionary")
             raise
-        got = seen.get
-        manifest = Manifest(name, ts, int(kind), int(got["entries"]), int(got["unique"]), int(got["most"]), int(got["size"]), offset_bits, max_load_factor, number_of_key_slots)
+        manifest = Manifest(
+            name, ts, int(kind), int(got["entries"]), int(got["unique"]), int(got["most"]), int(got["size"]), offset_bits, max_load_factor, number_of_key_slots, dictionary_entries=entries
+        )
         self.files.write(f"{name}.{ts}.manifest.json", manifest.to_json())
         if latest:
             self.files.write(f"{name}.timestamp.latest", str(ts))
         return ts
 
+    def dictionary(self, name: str, ts: int | None = None) -> DataFrame:
+        """(idx, s, fl) of a version's explicit dictionary; empty if it has none."""
+        ts = self.latest_timestamp(name) if ts is None else ts
+        folder, schema = f"{name}.{ts}.dictionary", "idx int, s binary, fl array<float>"
+        if not self.files.exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
+
     # --- open ----------------------------------------------------------------------------------------------------
 
     def timestamps(self, name: str) -> list[int]:
@@ -161,8 +196,20 @@ class SnapshotStore:
     def path(self, name: str, ts: int) -> str:
         return f"{self.root}/{name}.{ts}.snapshot"
 
-    def open_path(self, path: str, preload: bool = False) -> DataFrame:
-        """A version by its folder.  preload: keep it in memory and disk of the executors, filled at once."""
+    @staticmethod
+    def _check(m: Manifest, kind: CacheKind | None) -> None:
+        if m.format_version != FORMAT_VERSION:
+            raise MalformedSnapshotError(f"format {m.format_version} of {m.name} is not {FORMAT_VERSION}")
+        if kind is not None and CacheKind(m.kind).has_dictionary and not kind.has_dictionary:
+            raise MalformedSnapshotError(f"{m.name} is of kind {CacheKind(m.kind).name}, not {kind.name}")
+
+    def open_path(self, path: str, preload: bool = False, kind: CacheKind | None = None) -> DataFrame:
+        """A version by its folder; what its manifest says of kind and format is checked if there is one.  preload: keep it
+        in memory and disk of the executors, filled at once."""
+        folder = path.rstrip("/")
+        manifest = Files(self.spark, "")
+        if VERSION.fullmatch(folder.rpartition("/")[2]) and manifest.exists(beside := folder.removesuffix(".snapshot") + ".manifest.json"):
+            self._check(_parse(manifest.read(beside), beside), kind)
         try:
             df = self.spark.read.parquet(path)
         except Exception as e:
@@ -178,11 +225,7 @@ class SnapshotStore:
     def open(self, name: str, ts: int | None = None, preload: bool = False, kind: CacheKind | None = None) -> DataFrame:
         """The latest version, or that of a time; raises if its manifest has another format or, if given, kind."""
         ts = self.latest_timestamp(name) if ts is None else ts
-        m = self.manifest(name, ts)
-        if m.format_version != FORMAT_VERSION:
-            raise MalformedSnapshotError(f"format {m.format_version} of {name} is not {FORMAT_VERSION}")
-        if kind is not None and CacheKind(m.kind).has_dictionary and not kind.has_dictionary:
-            raise MalformedSnapshotError(f"{name} is of kind {CacheKind(m.kind).name}, not {kind.name}")
+        self._check(self.manifest(name, ts), kind)
         return self.open_path(self.path(name, ts), preload)
 
     def open_as_of(self, name: str, ts: int) -> DataFrame:
@@ -204,10 +247,7 @@ class SnapshotStore:
         file = f"{name}.{ts}.manifest.json"
         if not self.files.exists(file):
             raise NotFoundError(f"no version {ts} of {name}")
-        try:
-            return Manifest(**json.loads(self.files.read(file)))
-        except (ValueError, TypeError) as e:
-            raise MalformedSnapshotError(f"malformed manifest {file}") from e
+        return _parse(self.files.read(file), file)
 
     def manifests(self, name: str) -> DataFrame:
         rows = [asdict(self.manifest(name, t)) for t in self.timestamps(name)]
@@ -227,6 +267,7 @@ class SnapshotStore:
         gone = [t for t in versions if t not in keep]
         for t in gone:
             self.files.delete(f"{name}.{t}.snapshot")
+            self.files.delete(f"{name}.{t}.dictionary")
             self.files.delete(f"{name}.{t}.manifest.json")
         return gone
 

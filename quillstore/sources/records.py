@@ -1,7 +1,8 @@
 """Record files as DataFrames.
 
 A scan keeps the load order explicit, because the order in which partitions are scheduled is not the order of files:
-(index of the source in the input list, first byte of the split, row number).
+(index of the source in the input list, path of the file where a source is a folder or a pattern, first byte of the
+split, row number).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.files import Files
 from ..types import ORDER_COLUMNS, RECORD_SEPARATOR, StoreError, ValueType
 
 ON_INVALID = ("empty_key", "error", "drop")
@@ -19,7 +21,9 @@ ON_INVALID = ("empty_key", "error", "drop")
 
 def scan_records(spark: SparkSession, paths: Sequence[str] | str, separator: str = RECORD_SEPARATOR) -> DataFrame:
     """Raw records with their load order; blank records and an unterminated last one are kept.  A missing file raises
-    when the plan is made.  Splits of large files are read in parallel."""
+    when the plan is made.  Splits of large files are read in parallel; files of a folder or a pattern follow each other
+    by path."""
+    files = Files(spark, "")
     paths = [paths] if isinstance(paths, str) else list(paths)
     frames = []
     for i, path in enumerate(paths):  # one small relation per listed source, united: the list is the user's own
@@ -28,6 +32,7 @@ def scan_records(spark: SparkSession, paths: Sequence[str] | str, separator: str
             raw.select(
                 F.col("value").alias("record"),
                 F.lit(i).alias("src_idx"),
+                (F.lit("") if files.is_file(path) else F.col("_metadata.file_path")).alias("src_file"),
                 F.col("_metadata.file_block_start").alias("src_block"),
                 F.monotonically_increasing_id().alias("src_ord"),
             )

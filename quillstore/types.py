@@ -72,8 +72,9 @@ PAYLOAD_COLUMNS = tuple(PAYLOAD.fieldNames())
 #: A snapshot.
 SNAPSHOT = T.StructType([T.StructField("key", T.BinaryType(), False), T.StructField("query_id", T.LongType()), T.StructField("vtype", T.StringType()), *PAYLOAD.fields])
 
-#: Load order: index of the source in the input list, first byte of the split, row number.
-ORDER_COLUMNS = ("src_idx", "src_block", "src_ord")
+#: Load order: index of the source in the input list, file of a source that is a folder or a pattern, first byte of the
+#: split, row number.
+ORDER_COLUMNS = ("src_idx", "src_file", "src_block", "src_ord")
 
 
 class StoreError(RuntimeError):

@@ -85,7 +85,7 @@ MODELS = {
     "to_long": (lambda: S.to_long("t"), lambda t: fits(t, 64)),
     "to_integer": (lambda: S.to_integer("t"), lambda t: fits(t, 32)),
     "to_double": (lambda: S.to_double("t"), strict),
-    "to_double_lenient": (lambda: hashing.lenient_double_udf("t"), lenient),
+    "to_double_lenient": (lambda: S.to_double_lenient("t"), lenient),
     "file_list": (lambda: S.file_list("t"), lambda t: sorted(t.split("|"), key=str.encode) if t else []),
     "inserted_list": (lambda: S.inserted_list("t"), lambda t: sorted(parts(t, "|"), key=str.encode)),
     "text_list": (lambda: S.text_list("t"), lambda t: parts(t, "|")),
