@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import trim_memory
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; the path may live in any store that Spark can read."""
@@ -48,6 +50,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of plans that have been cut: it waits for the driver's garbage
     collection, which a driver with little to do may not come to for long."""
     gc.collect()
+    trim_memory()
     spark.sparkContext._jvm.System.gc()
 
 

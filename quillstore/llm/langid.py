@@ -238,10 +238,11 @@ def fit(labelled: DataFrame, options: Options | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     sample = rows.where(pick <= edge).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
+    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(counts["lang"].unique().to_pylist())
     n = np.zeros((options.buckets + len(SCRIPT_NAMES), len(languages)))
-    n[counts["bucket"], np.searchsorted(languages, counts["lang"].to_numpy(str)) if languages else []] = counts["n"]
+    number = {lang: i for i, lang in enumerate(languages)}
+    n[counts["bucket"].to_numpy(), np.array([number[x] for x in counts["lang"].to_pylist()], np.int64)] = counts["n"].to_numpy()
     gram, script = n[: options.buckets], n[options.buckets :]
     weights = np.log(gram + options.smoothing) - np.log(gram.sum(0) + options.smoothing * options.buckets)
     allowed = script >= options.min_script_share * np.maximum(script.sum(0), 1)

@@ -265,19 +265,23 @@ def signature_rows(docs: DataFrame, plan: list[Band], options: Options) -> DataF
     used, twice, as they would take more space than the texts."""
 
     def run(batches):
-        for batch in batches:
-            data, offsets, _ = K.utf8_column(batch.column(0))
-            for a, b in K.chunks(offsets):
-                elements, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], options.k)
-                bound = np.concatenate(([0], np.cumsum(n)))
-                sig, of = signatures(elements, n, plan, options)
-                order = np.argsort(of, kind="stable")
-                cuts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=b - a)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(_names(elements, bound, 1)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(sig[order].view(np.int64)))], names=["set_a", "sigs"])
+        for names, sig, of in _signed(batches, plan, options):
+            order = np.argsort(of, kind="stable")
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(names))))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(cuts), pa.array(sig[order].view(np.int64)))], names=["set_a", "sigs"])
 
     return docs.select("text").mapInArrow(run, "set_a long, sigs array<long>")
 
 
+def _signed(batches, plan: list[Band], options: Options):
+    """(names of sets, signatures, set of each) of texts, chunk by chunk."""
+    for batch in batches:
+        data, offsets, _ = K.utf8_column(batch.column(0))
+        for a, b in K.chunks(offsets):
+            elements, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], options.k)
+            yield _names(elements, np.concatenate(([0], np.cumsum(n))), 1), *signatures(elements, n, plan, options)
+
+
 def encode(docs: DataFrame, options: Options) -> DataFrame:
     """Per document of (doc_id, doc_key, text): the size, a 128-bit name and a sketch of its set."""
 
@@ -391,7 +395,7 @@ def deal_star(rows: DataFrame, weight, limit: int) -> DataFrame:
     others = broadcast_hot(rows.where("not centre"), blocks, ["hub"], "size", total, most).withColumn("i", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     centres = rows.where("centre").join(blocks, "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = others.withColumn("side", F.lit(P.RIGHT)).unionByName(centres.withColumn("side", F.lit(P.LEFT))).withColumn("j", F.lit(-1))
-    return sided.select(*_columns(), "i", "j", "side", _tasks(total, limit))
+    return sided.select(*_columns(), "i", "j", "side", _tasks(total, limit // 2))
 
 
 def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
@@ -408,7 +412,7 @@ def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
     total, most, dealt = hubs.agg(F.sum("size"), F.max("size"), F.sum(F.col("size") * F.col("blocks"))).first()
     if not total or most <= limit:  # every hub is one block
         alone = rows.join(hubs.select("hub"), "hub", "left_semi").withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("side", F.lit(P.BOTH))
-        return alone.select(*_columns(), "i", "j", "side", _tasks(total, limit))
+        return alone.select(*_columns(), "i", "j", "side", _tasks(total, limit // 2))
     k = F.ceil(F.col("size") / limit).cast("int")
     before = F.sum("k").over(W.partitionBy("hub").orderBy("root").rowsBetween(W.unboundedPreceding, -1))
     pure = per.where(F.col("size") > limit).withColumn("k", k).join(hubs.select("hub", "mixed"), "hub")
@@ -460,27 +464,24 @@ def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False) -
     return found
 
 
-def _shared_only(rows: DataFrame, shared: DataFrame, options: Options) -> DataFrame:
-    """(cls, sig) of the rows' signatures that are, or may be, in ``shared``: a fixed-size bit table is built from
-    these (one number per 64 bits at most reaches the driver) and tested before anything is shuffled."""
+def shared_signatures(docs: DataFrame, shared: DataFrame, plan: list[Band], options: Options) -> DataFrame:
+    """(cls, sig) of the documents' signatures that are, or may be, in ``shared``: a fixed-size bit table is built from
+    these (one number per 64 bits at most reaches the driver) and tested where signatures are computed."""
     at = F.col("sig").bitwiseAND(options.filter_bits - 1)
     bit = F.expr("shiftleft(1L, cast(sig & 63 as int))")
-    words = shared.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = shared.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(options.filter_bits >> 6, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    held = rows.sparkSession.sparkContext.broadcast(table.view(K.U).tobytes())
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(table.view(K.U).tobytes())
 
     def run(batches):
         table = np.frombuffer(held.value, K.U)
-        for batch in batches:
-            lists = batch.column(1)
-            sig = np.asarray(lists.flatten())
-            who = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
-            index = sig.view(K.U) & K.U(len(table) * 64 - 1)
+        for names, sig, of in _signed(batches, plan, options):
+            index = sig & K.U(len(table) * 64 - 1)
             keep = ((table[index >> K.U(6)] >> (index & K.U(63))) & K.U(1)).astype(bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who[keep])), pa.array(sig[keep])], names=["cls", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[of[keep]]), pa.array(sig[keep].view(np.int64))], names=["cls", "sig"])
 
-    return rows.select("set_a", "sigs").mapInArrow(run, "cls long, sig long")
+    return docs.select("text").mapInArrow(run, "cls long, sig long")
 
 
 @dataclass
@@ -518,7 +519,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     exploded = signed.select(F.col("set_a").alias("cls"), F.explode("sigs").alias("sig"))
     shared = cut(exploded.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sig", "hub"))
     release(spark)
-    around = _shared_only(signed, shared, options).distinct().join(shared, "sig").select("hub", "cls").distinct()
+    around = shared_signatures(slim, shared, plan, options).distinct().join(shared, "sig").select("hub", "cls").distinct()
     columns = ["hub", "row", "n", F.col("row").alias("root"), "sketch", (F.col("cls") == F.col("hub")).alias("centre")]
     rows_around = cut(around.join(facts, "cls").select(*columns))
     discard(shared)

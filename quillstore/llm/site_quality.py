@@ -73,8 +73,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior_good:
             x = surface(batch.column(0))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(x.shape[1])), batch.column(1)], names=[*MEASURED, "quality"])
 
-    got = rows.mapInArrow(run, ", ".join(f"{c} double" for c in MEASURED) + ", quality int").toPandas()
-    x, y = got[list(MEASURED)].to_numpy(float), (got["quality"].to_numpy() > 0).astype(int)
+    got = rows.mapInArrow(run, ", ".join(f"{c} double" for c in MEASURED) + ", quality int").toArrow()
+    x, y = np.stack([got[c].to_numpy() for c in MEASURED], 1), (got["quality"].to_numpy() > 0).astype(int)
     order = np.lexsort(np.column_stack([x, y]).T)
     x, y = x[order], y[order]
     if len(set(y.tolist())) < 2:
