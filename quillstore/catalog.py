@@ -6,7 +6,9 @@ the same result independently.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import relations as R
@@ -15,9 +17,11 @@ from .operators import dictionary as D
 from .operators import load as load_ops
 from .operators import lookup as L
 from .operators import stats
+from .plans.store import SnapshotStore
 from .relations import prefixed, table
-from .sources.records import parse_records, to_pairs
-from .types import CacheKind
+from .sources.properties import write_properties
+from .sources.records import parse_records, read_pairs, to_pairs
+from .types import MAX_ELEMENT_BYTES, MAX_KEY_BYTES, MAX_LIST_LENGTH, MAX_VALUE_BYTES, RECORD_SEPARATOR, CacheKind, StoreError
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -107,15 +111,18 @@ def kv_capacity_guard(spark, sf_dir):
 
 
 @query(
-    """WITH k AS (SELECT doc_id, coalesce(CAST(strlen(text) AS BIGINT), 0) AS b FROM documents)
-       SELECT doc_id, CASE WHEN b + 1 > 4000 THEN 'value too long' ELSE '' END AS reason FROM k"""
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'key too long' WHEN 1 THEN 'list too long' WHEN 2 THEN 'list element too long' WHEN 3 THEN 'value too long' ELSE 'taken' END AS reason
+       FROM orders WHERE o_orderkey <= 50"""
 )
 def kv_limits(spark, sf_dir):
-    """The size guard, with a smaller limit so that some documents are over it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("String").alias("vtype"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("s"))
-    rows = docs.select("doc_id", F.lit(b"k").alias("key"), "vtype", "s", *(F.lit(None).cast(t).alias(c) for c, t in (("sl", "array<binary>"), ("b", "boolean"), ("i", "bigint"), ("d", "double"), ("fl", "array<float>"))))
-    over = F.coalesce(load_ops.violation(), F.when(load_ops.encoded_bytes() > 4000, "value too long"), F.lit(""))
-    return rows.select("doc_id", over.alias("reason"))
+    """Keys, lists, elements and values one over their limits, and some that are just inside."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey <= 50").select("o_orderkey", (F.col("o_orderkey") % 5).alias("m"))
+    text = F.repeat(F.lit("x"), F.when(F.col("m") == 3, MAX_VALUE_BYTES).otherwise(10).cast("int")).cast("binary")
+    items = F.when(F.col("m") == 1, F.array_repeat(F.lit(b""), MAX_LIST_LENGTH + 1)).when(F.col("m") == 2, F.array(F.repeat(F.lit("x"), F.lit(MAX_ELEMENT_BYTES + 1)).cast("binary")))
+    key = F.repeat(F.lit("k"), F.when(F.col("m") == 0, MAX_KEY_BYTES + 1).otherwise(MAX_KEY_BYTES).cast("int")).cast("binary")
+    pairs = o.select("o_orderkey", key.alias("key"), F.when(items.isNull(), "String").otherwise("StringList").alias("vtype"), F.when(items.isNull(), text).alias("s"), items.alias("sl"), *(F.lit(None).cast(t).alias(c) for c, t in (("b", "boolean"), ("i", "bigint"), ("d", "double"), ("fl", "array<float>"))))
+    taken, refused = load_ops.split_by_limits(pairs)
+    return taken.select("o_orderkey", F.lit("taken").alias("reason")).unionByName(refused.select("o_orderkey", "reason"))
 
 
 @query("SELECT event_id, event_type, user_id FROM events QUALIFY lag(event_type) OVER (ORDER BY event_id) IS DISTINCT FROM event_type")
@@ -229,7 +236,7 @@ def kv_get_double(spark, sf_dir):
 NUMBERS = [
     ("1.5d", 0.0, 0.0), ("1.5f", 0.0, 0.0), (" 12.5", 0.0, 12.5), ("+12.5", 0.0, 12.5), ("12.5 ", 0.0, 0.0), ("12.5x", 0.0, 0.0),
     (".5", 0.5, 0.5), ("5.", 5.0, 5.0), ("-.5", -0.5, -0.5), (".", 0.0, 0.0), ("-", 0.0, 0.0), ("1e", 0.0, 0.0), ("e5", 0.0, 0.0),
-    ("1E+10", 1e10, 1e10), ("1e-9999", 0.0, 0.0), ("0x1.8p1", 0.0, 3.0), ("12", 12.0, 12.0), ("1_0", 0.0, 0.0),
+    ("1E+10", 1e10, 1e10), ("1e-9999", 0.0, 0.0), ("0x1.8p1", 0.0, 3.0), ("0x10", 0.0, 16.0), (" -0X1f", 0.0, -31.0), ("0x.8", 0.0, 0.5), ("12", 12.0, 12.0), ("1_0", 0.0, 0.0),
 ]
 
 
@@ -399,7 +406,10 @@ def kv_scan_stats(spark, sf_dir):
 
 @query(f"SELECT coalesce(TRY_CAST(nullif(regexp_extract(k, '^([+-]?[0-9]+)[.]', 1), '') AS BIGINT), 0) AS query_id, count(*) AS n FROM ({EVERY_KEY}) GROUP BY 1")
 def kv_split_counts(spark, sf_dir):
-    return every_key(spark, sf_dir).groupBy(S.query_id("key").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
+    """Lines per query id, read back from the folders that a split writes."""
+    folder = shared_folder(spark)
+    stats.split_by_query_id(every_key(spark, sf_dir), folder)
+    return spark.read.text(folder).groupBy(F.col("query_id").cast("bigint").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 TOP = """SELECT event_type AS v FROM events UNION ALL SELECT p_name FROM part UNION ALL SELECT c_mktsegment FROM customer"""
@@ -445,21 +455,77 @@ def kv_compare_snapshots(spark, sf_dir):
     return stats.comparison_counts(stats.compare(orders.select("key", "value"), held))
 
 
-def manifest(spark, sf_dir):
-    """One version of ``events`` per day."""
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("entries"))
+def shared_folder(spark) -> str:
+    """A new folder that the driver and all executors see: under the cluster's checkpoint folder, else, where all runs in
+    this process, under the temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise StoreError("spark.checkpoint.dir must name a shared folder")
+    return f"{base or tempfile.gettempdir()}/catalog-{uuid.uuid4().hex}"
+
+
+def published(spark, sf_dir, **options) -> SnapshotStore:
+    """A store with one version of ``events`` per event type; its time is the first event of the type."""
+    store = SnapshotStore(spark, shared_folder(spark))
+    events = table(spark, sf_dir, "events")
+    firsts = sorted((r[1], r[0]) for r in events.groupBy("event_type").agg(F.min("event_id")).collect())  # five types
+    pairs = R.puts(spark, sf_dir)
+    for ts, kind in firsts:
+        store.publish("events", pairs.where(F.col("s") == F.lit(kind.encode())), timestamp=int(ts), **options)
+    return store
+
 
+VERSIONS = "(SELECT min(event_id) AS ts, count(DISTINCT user_id) AS entries, count(*) AS puts, event_type FROM events GROUP BY event_type)"
 
-@query("SELECT max(CAST(ts AS DATE)) AS day, arg_max(n, day) AS entries FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n, max(ts) AS ts FROM events GROUP BY 1)")
+
+@query(f"SELECT max(ts) AS ts, arg_max(entries, ts) AS entries, arg_max(event_type, ts) AS v FROM {VERSIONS}")
 def kv_latest_snapshot(spark, sf_dir):
-    return manifest(spark, sf_dir).agg(F.max("day").alias("day"), F.max_by("entries", "day").alias("entries"))
+    """Publish versions, then open the latest one."""
+    store = published(spark, sf_dir)
+    ts = store.latest_timestamp("events")
+    return store.open("events").agg(F.count(F.lit(1)).alias("entries"), F.max(F.col("s").cast("string")).alias("v")).select(F.lit(ts).cast("bigint").alias("ts"), "entries", "v")
 
 
-@query("SELECT day, n AS entries FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1) QUALIFY row_number() OVER (ORDER BY day DESC) > 3")
+@query(f"SELECT ts, entries FROM {VERSIONS} QUALIFY row_number() OVER (ORDER BY ts DESC) <= 2")
 def kv_retention(spark, sf_dir):
-    """Versions beyond the newest three; one row per version."""
-    ranked = manifest(spark, sf_dir).withColumn("n", F.row_number().over(W.orderBy(F.desc("day"))))
-    return ranked.where("n > 3").drop("n")
+    """Versions that are left after all but the newest two are removed, by their manifests."""
+    store = published(spark, sf_dir)
+    store.retain("events", 2)
+    return store.manifests("events").select(F.col("creation_time_ms").alias("ts"), F.col("number_of_entries").alias("entries"))
+
+
+@query(f"SELECT ts, entries AS number_of_entries, entries AS unique_keys, (SELECT max(n) - 1 FROM (SELECT count(*) AS n FROM events e WHERE e.event_type = v.event_type GROUP BY user_id)) AS max_collisions FROM {VERSIONS} v")
+def kv_manifests(spark, sf_dir):
+    return published(spark, sf_dir).manifests("events").select(F.col("creation_time_ms").alias("ts"), "number_of_entries", "unique_keys", "max_collisions")
+
+
+@query(f"SELECT arg_max(ts, ts) AS ts, arg_max(entries, ts) AS entries FROM {VERSIONS} WHERE ts <= (SELECT ts FROM {VERSIONS} ORDER BY ts LIMIT 1 OFFSET 2)")
+def kv_open_as_of(spark, sf_dir):
+    """The version at the time of the third one."""
+    store = published(spark, sf_dir)
+    ts = store.timestamps("events")[2]
+    return store.open_as_of("events", ts).agg(F.count(F.lit(1)).alias("entries")).select(F.lit(ts).cast("bigint").alias("ts"), "entries")
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS idx, r_name AS v FROM region")
+def kv_publish_dictionary(spark, sf_dir):
+    """The explicit dictionary of a published version, read back."""
+    words = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("idx"), F.col("r_name").cast("binary").alias("s"), F.lit(None).cast("array<float>").alias("fl"))
+    store = SnapshotStore(spark, shared_folder(spark))
+    store.publish("customers", R.strings(spark, sf_dir).limit(0), words=words, timestamp=1)
+    return store.dictionary("customers").select(F.col("idx").cast("bigint").alias("idx"), F.col("s").cast("string").alias("v"))
+
+
+@query("SELECT user_id, arg_min(event_type, (event_type, event_id)) AS v FROM events GROUP BY user_id")
+def kv_folder_first_wins(spark, sf_dir):
+    """First-wins over a folder of record files, which follow each other by name."""
+    folder = shared_folder(spark)
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", F.concat_ws("=", F.concat(F.lit("267."), "user_id"), "event_type").alias("record"))
+    for (kind,) in sorted(events.select("event_type").distinct().collect()):  # five types, a file each
+        lines = events.where(F.col("event_type") == kind).orderBy("event_id").coalesce(1).select("record")
+        lines.write.option("lineSep", RECORD_SEPARATOR).text(f"{folder}/{kind}")
+    got = load_ops.insert(read_pairs(spark, f"{folder}/*"))
+    return got.select(F.substring_index(F.col("key").cast("string"), ".", -1).cast("bigint").alias("user_id"), F.col("s").cast("string").alias("v"))
 
 
 @query(
@@ -477,5 +543,61 @@ def kv_debug_json(spark, sf_dir):
 
 @query("SELECT n_name || '=' || n_regionkey AS line FROM nation ORDER BY line")
 def kv_properties_sorted(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    return n.select(F.concat("n_name", F.lit("="), F.col("n_regionkey").cast("string")).alias("line")).orderBy("line")
+    """A property file of the nations (25 rows), written and read back line by line."""
+    with tempfile.TemporaryDirectory() as folder:  # a property file is the driver's own
+        write_properties(f"{folder}/nations", {r[0]: r[1] for r in table(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()})
+        with open(f"{folder}/nations", encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("SELECT vec_id, 3 AS n, CAST(vec_id AS FLOAT) AS a, CAST(-2 AS FLOAT) AS c FROM embeddings")
+def kv_get_float_vector(spark, sf_dir):
+    """The float-list getter on Strings."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", prefixed("1.", "vec_id").alias("key"), F.concat(F.col("vec_id").cast("string"), F.lit(": .5 :-2")).alias("t"))
+    got = L.lookup(e.select("vec_id", "key"), e.select(*load_ops.put("key", "t", 0))).select("vec_id", L.get_float_vector().alias("f"))
+    return got.select("vec_id", F.size("f").alias("n"), F.get("f", F.lit(0)).alias("a"), F.get("f", F.lit(2)).alias("c"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS text, CASE WHEN c_custkey % 2 = 0 THEN 'String' ELSE '' END AS vtype FROM customer")
+def kv_get_with_type(spark, sf_dir):
+    """Raw bytes and the type of a key; nothing for a missing one."""
+    p = table(spark, sf_dir, "customer").select("c_custkey", prefixed("267.", "c_custkey").alias("key"))
+    got = L.lookup(p, R.strings(spark, sf_dir).where(F.pmod(F.substring_index(F.col("key").cast("string"), ".", -1).cast("bigint"), F.lit(2)) == 0))
+    one = L.get_with_type()
+    return got.select("c_custkey", F.coalesce(one["bytes"].cast("string"), F.lit("")).alias("text"), one["vtype"].alias("vtype"))
+
+
+@query("SELECT event_id FROM events WHERE NOT (event_type = 'click' AND event_id % 3 = 0)")
+def kv_drop_empty_typed(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "").otherwise("x").alias("value"), F.when(F.col("event_type") == "click", "Int64").otherwise("String").alias("vtype"))
+    return load_ops.drop_empty_typed(e).select("event_id")
+
+
+SPLITS = "CASE doc_id % 4 WHEN 0 THEN 'a|b|' WHEN 1 THEN '|' WHEN 2 THEN '' ELSE 'x=y=z' END"
+
+
+@query(
+    f"""SELECT doc_id, CAST(len(string_split(t, '|')) AS INTEGER) AS every, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS parts,
+        CASE WHEN doc_id % 4 = 3 THEN 'y=z' END AS rest, CAST(CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS INTEGER) AS chars FROM (SELECT doc_id, {SPLITS} AS t FROM documents)"""
+)
+def kv_splits(spark, sf_dir):
+    """Splits that keep every part, that drop an empty last one, that split once, and at any of several characters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPLITS).alias("t"))
+    return d.select("doc_id", F.size(S.split_all("t")).alias("every"), F.size(S.split_parts("t", "|")).alias("parts"), F.get(S.split_first("t", "="), F.lit(1)).alias("rest"), F.size(S.split_any("t", "|=")).alias("chars"))
+
+
+@query(
+    """SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN 12 WHEN 1 THEN -5 ELSE NULL END AS INTEGER) AS i, CASE o_orderkey % 3 WHEN 0 THEN 12.5 WHEN 1 THEN -5.0 ELSE 7.0 END::DOUBLE AS d,
+       CASE WHEN o_orderkey <= 1 THEN 1 ELSE CAST(2 ** ceil(log2(o_orderkey)) AS BIGINT) END AS p FROM orders"""
+)
+def kv_numbers(spark, sf_dir):
+    """Leading numbers with and without a default, and the next power of two."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE o_orderkey % 3 WHEN 0 THEN '12.5x' WHEN 1 THEN '-5 ' ELSE 'x' END").alias("t"))
+    return o.select("o_orderkey", S.to_int32("t").alias("i"), S.to_number("t", 7.0).alias("d"), S.power_of_two_at_least("o_orderkey").alias("p"))
+
+
+@query("SELECT doc_id, lower(CASE WHEN doc_id % 2 = 0 THEN 'Ab C' ELSE 'TRUE' END) AS low, 'a b' AS trimmed, 'ab' AS head FROM documents")
+def kv_text_functions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Ab C").otherwise("TRUE").alias("t"))
+    return d.select("doc_id", S.lowercase("t").alias("low"), S.trim(F.lit(" \ta b\r\n")).alias("trimmed"), S.until_nul(F.lit("ab\x00c")).alias("head"))
