@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut
 
-ROW, PART, SPLITS = "__row", "__part", 64
+ROW, PART = "__row", "__part"
+#: Least and most splits of a group.
+SPLITS = (64, 4096)
+
+
+def splits_of(df: DataFrame) -> int:
+    """A group has as many splits as the input has partitions, within the bounds."""
+    return min(SPLITS[1], max(SPLITS[0], df._jdf.queryExecution().toRdd().getNumPartitions()))
 
 
 def fix_rows(slim: DataFrame) -> DataFrame:
     """Add a unique row id and its split, then materialise: after this, a lost executor cannot renumber rows."""
-    return cut(slim.withColumn(ROW, F.monotonically_increasing_id())).withColumn(PART, (F.shiftrightunsigned(ROW, 33) % SPLITS).cast("int"))
+    fixed = cut(slim.withColumn(ROW, F.monotonically_increasing_id()))
+    return fixed.withColumn(PART, (F.shiftrightunsigned(ROW, 33) % splits_of(fixed)).cast("int"))
 
 
 def number(fixed: DataFrame, group: str, out: str, group_bound: int, order: tuple = ()) -> DataFrame:
@@ -30,7 +38,7 @@ def number(fixed: DataFrame, group: str, out: str, group_bound: int, order: tupl
     counts = fixed.groupBy(group, PART).agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(group).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__group"), F.col(PART).alias("__split"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    offsets = broadcast_if_small(offsets, group_bound * SPLITS, 32)
+    offsets = broadcast_if_small(offsets, group_bound * splits_of(fixed), 32)
     inside = F.row_number().over(W.partitionBy(group, PART).orderBy(*order, ROW)) - 1
     ranked = fixed.withColumn("__inside", inside)
     joined = ranked.join(offsets, ranked[group].eqNullSafe(offsets["__group"]) & (ranked[PART] == offsets["__split"]))
