@@ -12,7 +12,11 @@ import re
 import shutil
 import urllib.request
 from dataclasses import dataclass, field
+from enum import IntEnum
 
+from pyspark.sql import SparkSession
+
+from ..plans.files import Files
 from ..sources.properties import read_properties, write_atomically
 from ..types import StoreError
 
@@ -31,7 +35,15 @@ def fetch(url: str, timeout: float = 30.0):
         return open(url[len("file://") :], "rb")  # noqa: SIM115
     if url.startswith(("http://", "https://")):
         return urllib.request.urlopen(url, timeout=timeout)  # noqa: S310
-    raise StoreError(f"fetch {url} through the store's file system")
+    return _files(url).open(url)
+
+
+def _files(url: str) -> Files:
+    """Any other place, through the session's file systems."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise StoreError(f"{url} needs a session")
+    return Files(spark, "")
 
 
 def fetch_text(url: str, timeout: float = 30.0) -> str:
@@ -40,7 +52,9 @@ def fetch_text(url: str, timeout: float = 30.0) -> str:
 
 
 def glob(pattern: str) -> list[str]:
-    """Files of a local folder that match a pattern."""
+    """Files that match a pattern, in a local folder or in any store that Spark reads."""
+    if "://" in pattern and not pattern.startswith("file://"):
+        return _files(pattern).glob(pattern)
     folder, _, name = pattern.removeprefix("file://").rpartition("/")
     return sorted(f"{folder}/{f}" for f in os.listdir(folder or ".") if fnmatch.fnmatch(f, name))
 
@@ -99,6 +113,7 @@ class Job:
     retain: int = 1
     inputs: list = field(default_factory=list)
     fetched: list = field(default_factory=list)
+    settings: dict = field(default_factory=dict)
 
     @property
     def pointer(self) -> str:
@@ -160,6 +175,56 @@ def staleness(job: Job, remote: int | None, size: int | None = None, expected: s
     return None
 
 
+class Reason(IntEnum):
+    """Why a download is due, or is not."""
+
+    UP_TO_DATE = 0
+    NO_TIMESTAMP = 1
+    MISSING_LATEST_TIMESTAMP = 2
+    MISSING_REMOTE_INPUTS = 3
+    MISSING_LOCAL_INPUTS = 4
+    EMPTY_REMOTE_INPUTS = 5
+    EMPTY_LOCAL_INPUTS = 6
+    SIMILAR_REMOTE_AND_LOCAL_INPUTS = 7
+    DIFFERENT_REMOTE_AND_LOCAL_INPUTS = 8
+    NOT_ENOUGH_FILES = 9
+
+
+def _text_or_none(read) -> str | None:
+    try:
+        return read()
+    except (OSError, StoreError):
+        return None
+
+
+def decide(job: Job, timeout: float = 30.0) -> tuple[bool, Reason]:
+    """Whether a download is due, by the pointers and, where these differ, by the lists of inputs (``<stem>.inputs``)
+    that were built from; in any case a file of the remote version must be there."""
+    try:
+        url, ts = newest_source(job.urls, job.pointer, timeout)
+    except StoreError:
+        return True, Reason.NO_TIMESTAMP
+    have = local_timestamp(job)
+    if have is None:
+        return True, Reason.MISSING_LATEST_TIMESTAMP
+    verdict = Reason.UP_TO_DATE
+    if have != ts:
+        stem = job.name.rpartition(".")[0] or job.name
+
+        def local():
+            with open(f"{job.folder}/{stem}.inputs", encoding="utf-8") as f:
+                return f.read().strip()
+
+        there, here = _text_or_none(lambda: fetch_text(f"{url.rstrip('/')}/{stem}.inputs", timeout)), _text_or_none(local)
+        for text, missing, empty in ((there, Reason.MISSING_REMOTE_INPUTS, Reason.EMPTY_REMOTE_INPUTS), (here, Reason.MISSING_LOCAL_INPUTS, Reason.EMPTY_LOCAL_INPUTS)):
+            if not text:
+                return True, missing if text is None else empty
+        if there != here:
+            return True, Reason.DIFFERENT_REMOTE_AND_LOCAL_INPUTS
+        verdict = Reason.SIMILAR_REMOTE_AND_LOCAL_INPUTS
+    return (False, verdict) if os.path.exists(f"{job.folder}/{job.versioned(ts)}") else (True, Reason.NOT_ENOUGH_FILES)
+
+
 def settings_of(url: str, job: Job, ts: int, timeout: float = 30.0) -> dict[str, str]:
     """Settings published beside a version, else those beside the file, else none."""
     stem = job.name.rpartition(".")[0] or job.name
@@ -187,7 +252,7 @@ def run(job: Job, timeout: float = 30.0) -> int | None:
     base = url.rstrip("/")
     remote = job.versioned(ts)
     try:
-        settings_of(url, job, ts, timeout)
+        job.settings = settings_of(url, job, ts, timeout)
         expected = fetch_text(f"{base}/{remote}.{job.hash_name}", timeout)
         target = f"{job.folder}/{remote}"
         suffix = f".{job.compression}" if job.compression else ""

@@ -19,9 +19,10 @@ from ..types import NotFoundError, StoreError, UninitializedError
 
 
 class Refresher:
-    """Keeps a view at the newest version of a name."""
+    """Keeps a view at the newest version of a name, or at a pinned one, which ends polling."""
 
-    def __init__(self, store: SnapshotStore, name: str, view: str | None = None, callback: Callable[[int], None] | None = None, preload: bool = False):
+    def __init__(self, store: SnapshotStore, name: str, view: str | None = None, callback: Callable[[int], None] | None = None, preload: bool = False, pinned: int | None = None):
+        self.pinned = pinned
         self.store, self.name, self.view = store, name, view or name
         self.callback, self.preload = callback, preload
         self.timestamp, self.frame, self._closed = -1, None, False
@@ -32,7 +33,7 @@ class Refresher:
         with self._lock:
             if self._closed:
                 raise UninitializedError(f"{self.name} is closed")
-            ts = self.store.latest_timestamp(self.name) if ts is None else ts
+            ts = ts if ts is not None else self.pinned if self.pinned is not None else self.store.latest_timestamp(self.name)
             new = self.store.open(self.name, ts, preload=self.preload)
             new.createOrReplaceTempView(self.view)
             old, self.frame, self.timestamp = self.frame, new, ts
@@ -43,7 +44,9 @@ class Refresher:
         return ts
 
     def poll(self) -> bool:
-        """Swap if the pointer is strictly newer; whether it was."""
+        """Swap if the pointer is strictly newer; whether it was.  A pinned version is never swapped."""
+        if self.pinned is not None:
+            return False
         try:
             ts = self.store.latest_timestamp(self.name)
         except NotFoundError:
@@ -56,6 +59,8 @@ class Refresher:
     def start(self, seconds: float) -> None:
         """Poll in the background.  An error is kept in ``error`` and polling goes on."""
         self.error: Exception | None = None
+        if self.pinned is not None:
+            return
 
         def loop():
             while not self._stop.wait(seconds):

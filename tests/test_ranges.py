@@ -108,3 +108,45 @@ def test_folders_are_mirrored(spark, tmp_path):
     assert files.mirror("a", "b") == ["y"] and files.list("b") == ["x", "y"]
     with files.open("b/y") as f:
         assert f.read(1) + f.read() == b"22"
+
+
+def test_reasons_of_downloads(tmp_path):
+    from quillstore.streaming.download import Job, Reason, decide
+
+    there, here = tmp_path / "there", tmp_path / "here"
+    there.mkdir()
+    here.mkdir()
+    job = Job([f"file://{there}"], "x.cache", str(here))
+    said = lambda: decide(job)
+    assert said() == (True, Reason.NO_TIMESTAMP)
+    (there / "x.cache.timestamp.latest").write_text("20")
+    assert said() == (True, Reason.MISSING_LATEST_TIMESTAMP)
+    (here / "x.cache.timestamp.latest").write_text("10")
+    for folder, missing, empty in ((there, Reason.MISSING_REMOTE_INPUTS, Reason.EMPTY_REMOTE_INPUTS), (here, Reason.MISSING_LOCAL_INPUTS, Reason.EMPTY_LOCAL_INPUTS)):
+        assert said() == (True, missing)
+        (folder / "x.inputs").write_text("")
+        assert said() == (True, empty)
+        (folder / "x.inputs").write_text("a")
+    assert said() == (True, Reason.NOT_ENOUGH_FILES)
+    (here / "x.20.cache").write_text("1")
+    assert said() == (False, Reason.SIMILAR_REMOTE_AND_LOCAL_INPUTS)
+    (here / "x.inputs").write_text("b")
+    assert said() == (True, Reason.DIFFERENT_REMOTE_AND_LOCAL_INPUTS)
+    (here / "x.cache.timestamp.latest").write_text("20")
+    assert said() == (False, Reason.UP_TO_DATE)
+    (here / "x.20.cache").unlink()
+    assert said() == (True, Reason.NOT_ENOUGH_FILES)
+
+
+def test_a_pinned_view_is_not_swapped(spark, tmp_path):
+    from quillstore.streaming.refresh import Refresher
+
+    store = SnapshotStore(spark, str(tmp_path))
+    pairs = spark.range(3).select(*load_ops.put(F.col("id").cast("string"), "id", 3))
+    for ts in (1, 2):
+        store.publish("p", pairs, timestamp=ts)
+    refresher = Refresher(store, "p", pinned=1)
+    assert refresher.update() == 1 and not refresher.poll() and refresher.timestamp == 1
+    refresher.start(0.01)
+    assert refresher._thread is None
+    refresher.close()
