@@ -378,6 +378,8 @@ def components(links: DataFrame) -> DataFrame:
 
 # Rows around a hub: hub, row, n, root, sketch, centre (whether the row is the hub that others are compared with).
 AROUND = "hub long, row long, n long, root long, sketch array<long>, centre boolean"
+# They are dealt with the length of the sketch only; sketches and sets join them in front of the task that compares.
+DEALT = "hub long, row long, n long, root long, words int, centre boolean"
 
 
 def _tasks(total, limit: int):
@@ -388,14 +390,14 @@ def deal_star(rows: DataFrame, weight, limit: int) -> DataFrame:
     """Each hub's centre against its other rows, these in blocks of about ``limit`` bytes (``weight`` is a row's).
 
     Adds i, j (the part), side and task.  The centre is repeated once per block, so rows grow in proportion."""
-    rows = rows.withColumn("bytes", weight)
+    columns, rows = rows.columns, rows.withColumn("bytes", weight)
     sizes = cut(rows.where("not centre").groupBy("hub").agg(F.sum("bytes").alias("size")))
     total, most = sizes.agg(F.sum("size"), F.max("size")).first()
     blocks = sizes.select("hub", "size", F.ceil(F.col("size") / limit).cast("int").alias("blocks"))
     others = broadcast_hot(rows.where("not centre"), blocks, ["hub"], "size", total, most).withColumn("i", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     centres = rows.where("centre").join(blocks, "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = others.withColumn("side", F.lit(P.RIGHT)).unionByName(centres.withColumn("side", F.lit(P.LEFT))).withColumn("j", F.lit(-1))
-    return sided.select(*_columns(), "i", "j", "side", _tasks(total, limit // 2))
+    return sided.select(*columns, "i", "j", "side", _tasks(total, limit // 2))
 
 
 def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
@@ -403,7 +405,7 @@ def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
 
     Rows of a root that alone fills more than a block get blocks of their own, which are not compared with each other:
     a large group of near copies grows in proportion once it is known to be one."""
-    rows = rows.withColumn("bytes", weight)
+    columns, rows = rows.columns, rows.withColumn("bytes", weight)
     per = cut(rows.groupBy("hub", "root").agg(F.sum("bytes").alias("size")))
     own = F.when(F.col("size") > limit, F.ceil(F.col("size") / limit))
     light = F.sum(F.when(F.col("size") <= limit, F.col("size")))
@@ -412,7 +414,7 @@ def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
     total, most, dealt = hubs.agg(F.sum("size"), F.max("size"), F.sum(F.col("size") * F.col("blocks"))).first()
     if not total or most <= limit:  # every hub is one block
         alone = rows.join(hubs.select("hub"), "hub", "left_semi").withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("side", F.lit(P.BOTH))
-        return alone.select(*_columns(), "i", "j", "side", _tasks(total, limit // 2))
+        return alone.select(*columns, "i", "j", "side", _tasks(total, limit // 2))
     k = F.ceil(F.col("size") / limit).cast("int")
     before = F.sum("k").over(W.partitionBy("hub").orderBy("root").rowsBetween(W.unboundedPreceding, -1))
     pure = per.where(F.col("size") > limit).withColumn("k", k).join(hubs.select("hub", "mixed"), "hub")
@@ -425,28 +427,31 @@ def deal_across(rows: DataFrame, weight, limit: int) -> DataFrame:
     paired = placed.withColumn("with", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), foreign)))
     paired = paired.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
     side = F.when(F.col("own") == F.col("with"), P.BOTH).when(F.col("own") < F.col("with"), P.LEFT).otherwise(P.RIGHT)
-    return paired.select(*_columns(), "i", "j", side.alias("side"), _tasks(dealt, 2 * limit))
+    return paired.select(*columns, "i", "j", side.alias("side"), _tasks(dealt, 2 * limit))
 
 
-def _columns() -> list[str]:
-    return [c.split()[0] for c in AROUND.split(", ")]
-
-
-def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False) -> DataFrame:
-    """Links (a, b) among rows around common hubs (AROUND), dealt to tasks by ``deal``; sets: gives (row, elements) of some
-    rows.  Not every: only links that join different roots, no more of a task than it takes to connect what it holds."""
+def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False, sketches: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among rows around common hubs, dealt to tasks by ``deal``.  The rows are as AROUND, or as DEALT with
+    ``sketches`` (row, sketch) apart; sets: gives (row, elements) of some rows.  Not every: only links that join different
+    roots, no more of a task than it takes to connect what it holds."""
+    if sketches is None:
+        sketches = rows.select("row", "sketch").dropDuplicates(["row"])
+        rows = rows.withColumn("words", F.size("sketch")).drop("sketch")
+    columns = [c.split()[0] for c in DEALT.split(", ")]
 
     def look(table: pa.Table) -> pa.Table:
         plain, parts = P.parts_of(table)
         sketches, keep = P.Sketches(P.one_array(table, "sketch")), np.zeros(table.num_rows, bool)
         for part in parts:
             keep[P.open_rows(plain["n"], plain["root"], plain["side"], sketches, part, options)] = True
-        return table.select(_columns()).filter(pa.array(keep))
+        return table.select(columns).filter(pa.array(keep))
 
     def prove(table: pa.Table) -> pa.Table:
         plain, parts = P.parts_of(table)
-        sketches = P.Sketches(P.one_array(table, "sketch"))
         elements = P.one_array(table, "elements")
+        again = [sketch(np.frombuffer(x.as_buffer(), K.U), w) for x, w in zip(elements, plain["words"].tolist(), strict=True)]
+        at = np.concatenate(([0], np.cumsum(plain["words"]))).astype(np.int32)
+        sketches = P.Sketches(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(again) if again else np.zeros(0, np.int64))))
         a, b = [], []
         for part in parts:
             own = {int(x): np.frombuffer(elements[int(x)].as_buffer(), K.U) for x in part}
@@ -456,8 +461,8 @@ def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False) -
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    sketch_bytes = 8 * F.size("sketch") + 64
-    some = cut(deal(rows, sketch_bytes, options.block_bytes).groupBy("task").applyInArrow(look, AROUND).dropDuplicates(["hub", "row"]))
+    sketch_bytes = 8 * F.col("words") + 64
+    some = cut(deal(rows, sketch_bytes, options.block_bytes).join(sketches, "row").groupBy("task").applyInArrow(look, DEALT).dropDuplicates(["hub", "row"]))
     full = deal(some, 8 * F.col("n") + sketch_bytes, options.block_bytes).join(sets(some.select("row").distinct()), "row")
     found = cut(full.groupBy("task").applyInArrow(prove, "a long, b long").distinct())
     discard(some)
@@ -512,7 +517,8 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     rows = cut(encode(slim, options).withColumn("row", F.monotonically_increasing_id()))
     one = F.min(F.struct("row", "doc_id", "doc_key", "sketch")).alias("one")
     classes = cut(rows.where("n > 0").groupBy("set_a", "set_b", "n").agg(one).select("set_a", "set_b", "n", F.col("one.row").alias("rep"), "one.doc_id", "one.doc_key", "one.sketch"))
-    facts = classes.select(F.col("set_a").alias("cls"), F.col("rep").alias("row"), "n", "sketch")
+    facts = classes.select(F.col("set_a").alias("cls"), F.col("rep").alias("row"), "n", F.size("sketch").alias("words"))
+    sketches = classes.select(F.col("rep").alias("row"), "sketch")
 
     # A set goes by half of its name here.
     signed = signature_rows(slim, plan, options)
@@ -520,7 +526,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     shared = cut(exploded.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sig", "hub"))
     release(spark)
     around = shared_signatures(slim, shared, plan, options).distinct().join(shared, "sig").select("hub", "cls").distinct()
-    columns = ["hub", "row", "n", F.col("row").alias("root"), "sketch", (F.col("cls") == F.col("hub")).alias("centre")]
+    columns = ["hub", "row", "n", F.col("row").alias("root"), "words", (F.col("cls") == F.col("hub")).alias("centre")]
     rows_around = cut(around.join(facts, "cls").select(*columns))
     discard(shared)
     release(spark)
@@ -533,9 +539,9 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
         if all_links:
             return others
         known = roots.withColumnRenamed("root", "known")
-        return others.join(known, "row", "left").select("hub", "row", "n", F.coalesce("known", "root").alias("root"), "sketch", "centre")
+        return others.join(known, "row", "left").select("hub", "row", "n", F.coalesce("known", "root").alias("root"), "words", "centre")
 
-    links = linked(rows_around, deal_star, sets, options, all_links)
+    links = linked(rows_around, deal_star, sets, options, all_links, sketches)
     roots = cut(components(links))
     release(spark)
     # All pairs with the hub have been looked at, so it is left out from here on.
@@ -543,7 +549,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     labelled = cut(rooted(roots))
     # Hubs of more than a block: one of their rows after the other takes the hub's place while that connects much, so
     # that near copies around a stranger become one root before pairs of blocks are formed.
-    weight = F.sum(8 * F.size("sketch") + 64).alias("bytes")
+    weight = F.sum(8 * F.col("words") + 64).alias("bytes")
     while not all_links:
         open_hubs = labelled.groupBy("hub").agg(weight, F.countDistinct("root").alias("roots")).where((F.col("bytes") > options.block_bytes) & (F.col("roots") > 1))
         before = open_hubs.agg(F.sum("roots")).first()[0]
@@ -552,7 +558,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
         centre = labelled.join(open_hubs.select("hub"), "hub", "left_semi").groupBy("hub").agg(F.min_by(F.struct("row", "root"), F.xxhash64("row", F.lit(before))).alias("c"), F.count(F.lit(1)).alias("size"))
         size = centre.agg(F.sum("size"), F.max("size")).first()
         chosen = broadcast_hot(labelled, centre, ["hub"], "size", *size).where("row = c.row or root <> c.root")
-        more = linked(cut(chosen.select("hub", "row", "n", "root", "sketch", (F.col("row") == F.col("c.row")).alias("centre"))), deal_star, sets, options)
+        more = linked(cut(chosen.select("hub", "row", "n", "root", "words", (F.col("row") == F.col("c.row")).alias("centre"))), deal_star, sets, options, sketches=sketches)
         links = cut(links.unionByName(more))
         roots = cut(components(links))
         discard(labelled)
@@ -560,7 +566,7 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
         after = labelled.join(open_hubs.select("hub"), "hub", "left_semi").groupBy("hub").agg(F.countDistinct("root").alias("roots")).agg(F.sum("roots")).first()[0]
         if 4 * after > 3 * before:
             break
-    more = linked(labelled, deal_across, sets, options, all_links)
+    more = linked(labelled, deal_across, sets, options, all_links, sketches)
     discard(rows_around)
     discard(labelled)
     if more.limit(1).count():
