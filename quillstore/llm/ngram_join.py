@@ -440,6 +440,7 @@ def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False, s
     columns = [c.split()[0] for c in DEALT.split(", ")]
 
     def look(table: pa.Table) -> pa.Table:
+        K.trim_memory()
         plain, parts = P.parts_of(table)
         sketches, keep = P.Sketches(P.one_array(table, "sketch")), np.zeros(table.num_rows, bool)
         for part in parts:
@@ -447,6 +448,7 @@ def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False, s
         return table.select(columns).filter(pa.array(keep))
 
     def prove(table: pa.Table) -> pa.Table:
+        K.trim_memory()
         plain, parts = P.parts_of(table)
         elements = P.one_array(table, "elements")
         again = [sketch(np.frombuffer(x.as_buffer(), K.U), w) for x, w in zip(elements, plain["words"].tolist(), strict=True)]
