@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import pairwise as P
-from .common import bounded_batches, broadcast_hot, cut, discard, maybe_among, release
+from .common import BROADCAST_BYTES, bounded_batches, broadcast_hot, cut, discard, maybe_among, release
 from .pairwise import sketch
 
 EXACT, SUBSET, DELETION = 0, 1, 2
@@ -247,8 +247,10 @@ def _band_signatures(elements, first, n, rows, b: int, band: Band):
 
 
 def sketch_words(n: int, options: Options) -> int:
-    """64-bit words of the parity sketch of a set of n elements: a power of two, at least 16 bits per allowed difference."""
-    return 1 << max(0, math.ceil(math.log2(max(1, 16 * difference(2 * n, options)) / 64)))
+    """64-bit words of the parity sketch of a set of n elements: a power of two, at least 4 bits per allowed difference.
+    At that length unrelated sets differ in some twice as many bits as are allowed, and sets at three quarters of the
+    allowed similarity in more; what passes besides is verified exactly."""
+    return 1 << max(0, math.ceil(math.log2(max(1, 4 * difference(2 * n, options)) / 64)))
 
 
 SLIM = "doc_id {id}, doc_key long, n long, set_a long, set_b long, sketch array<long>"
@@ -260,17 +262,10 @@ def _names(elements: np.ndarray, bound: np.ndarray, seed: int) -> np.ndarray:
     return (c[bound[1:]] - c[bound[:-1]]).view(np.int64)
 
 
-def signature_rows(docs: DataFrame, plan: list[Band], options: Options) -> DataFrame:
-    """(set_a, sigs) per document: half the name and the signatures of its set.  They are computed where they are
-    used, twice, as they would take more space than the texts."""
-
-    def run(batches):
-        for names, sig, of in _signed(batches, plan, options):
-            order = np.argsort(of, kind="stable")
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(names))))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(cuts), pa.array(sig[order].view(np.int64)))], names=["set_a", "sigs"])
-
-    return docs.select("text").mapInArrow(run, "set_a long, sigs array<long>")
+#: Bits of a signature that are kept: sets that agree in these only are candidates like others.
+SIGNATURE_BITS = 48
+#: Signatures that a task holds before it sends them on, and about as many as come together in one group.
+HELD = 1 << 20
 
 
 def _signed(batches, plan: list[Band], options: Options):
@@ -279,7 +274,51 @@ def _signed(batches, plan: list[Band], options: Options):
         data, offsets, _ = K.utf8_column(batch.column(0))
         for a, b in K.chunks(offsets):
             elements, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], options.k)
-            yield _names(elements, np.concatenate(([0], np.cumsum(n))), 1), *signatures(elements, n, plan, options)
+            sig, of = signatures(elements, n, plan, options)
+            yield _names(elements, np.concatenate(([0], np.cumsum(n))), 1), sig >> K.U(64 - SIGNATURE_BITS), of
+
+
+PACKED = "part int, first long, width int, steps binary, names binary"
+
+
+def _pack(sig: np.ndarray, names: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """Sorted signatures (and names of their sets) dealt to parts by range: of each part the first signature, and the
+    steps from one to the next in four bytes where they fit."""
+    cuts = np.searchsorted(sig * K.U(parts) >> K.U(SIGNATURE_BITS), np.arange(parts + 1))
+    part = np.flatnonzero(np.diff(cuts))
+    steps, width, held = [], [], []
+    for a, b in zip(cuts[part], cuts[part + 1], strict=True):
+        step = np.diff(sig[a:b])
+        width.append(4 if int(step.max(initial=0)) < 1 << 32 else 8)
+        steps.append(step.astype(f"<u{width[-1]}").tobytes())
+        held.append(b"" if names is None else names[a:b].tobytes())
+    columns = [pa.array(part, pa.int32()), pa.array(sig[cuts[part]].view(np.int64)), pa.array(width, pa.int32()), pa.array(steps, pa.binary()), pa.array(held, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def _unpack(table: pa.Table) -> np.ndarray:
+    out = []
+    for first, width, steps in zip(*(table.column(c) for c in ("first", "width", "steps")), strict=True):
+        step = np.frombuffer(steps.as_buffer(), f"<u{width.as_py()}").astype(K.U)
+        out.append(K.U(first.as_py()) + np.concatenate((np.zeros(1, K.U), np.cumsum(step, dtype=K.U))))
+    return np.concatenate(out)
+
+
+def _in_lots(found):
+    """(signatures, names), each lot of about HELD sorted by signature."""
+    sig, names, n = [], [], 0
+    for s, m in found:
+        sig.append(s)
+        names.append(m)
+        n += len(s)
+        if n >= HELD:
+            s, m, sig, names, n = np.concatenate(sig), np.concatenate(names), [], [], 0
+            order = np.argsort(s)
+            yield s[order], m[order]
+    if n:
+        s, m = np.concatenate(sig), np.concatenate(names)
+        order = np.argsort(s)
+        yield s[order], m[order]
 
 
 def encode(docs: DataFrame, options: Options) -> DataFrame:
@@ -471,24 +510,82 @@ def linked(rows: DataFrame, deal, sets, options: Options, every: bool = False, s
     return found
 
 
-def shared_signatures(docs: DataFrame, shared: DataFrame, plan: list[Band], options: Options) -> DataFrame:
-    """(cls, sig) of the documents' signatures that are, or may be, in ``shared``: a fixed-size bit table is built from
-    these (one number per 64 bits at most reaches the driver) and tested where signatures are computed."""
-    at = F.col("sig").bitwiseAND(options.filter_bits - 1)
-    bit = F.expr("shiftleft(1L, cast(sig & 63 as int))")
-    words = shared.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def once(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents (doc_id, doc_key, text), of which one of each text stays at least: copies have the same signatures.
+    Rows whose ids have one hash stay together.  rows: their (doc_id, doc_key, n)."""
+    copied = rows.where("n > 0").groupBy("doc_key").agg(F.min(F.xxhash64("doc_id")).alias("keeper"), F.count(F.lit(1)).alias("copies"))
+    copied = cut(copied.where("copies > 1"))
+    many, total, most = copied.agg(F.count(F.lit(1)), F.sum("copies"), F.max("copies")).first()
+    first = F.col("copies").isNull() | (F.xxhash64("doc_id") == F.col("keeper"))
+    if many * 64 <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(copied), "doc_key", "left").where(first).select(*docs.columns)
+    maybe, sure = maybe_among(docs, F.col("doc_key"), copied.select(F.col("doc_key").alias("h")), many, rest=True)
+    return sure.unionByName(broadcast_hot(maybe, copied, ["doc_key"], "copies", total, most, "left").where(first).select(*docs.columns))
+
+
+def repeated_signatures(docs: DataFrame, plan: list[Band], options: Options, parts: int) -> np.ndarray:
+    """A bit table of fixed size that holds all signatures which two documents have.
+
+    Signatures alone are shuffled, without their sets and packed by range; a task sends each of a lot twice at most.
+    The table goes by the signatures' upper bits, so a range has its own words, and no more reach the driver."""
+    shift = SIGNATURE_BITS - (options.filter_bits.bit_length() - 1)
+
+    def run(batches):
+        for sig, _ in _in_lots((sig, np.zeros(len(sig), np.int8)) for _, sig, _ in _signed(batches, plan, options)):
+            keep = np.ones(len(sig), bool)
+            keep[2:] = sig[2:] != sig[:-2]
+            yield _pack(sig[keep], None, parts)
+
+    def words(table: pa.Table) -> pa.Table:
+        K.trim_memory()
+        sig = np.sort(_unpack(table))
+        at = sig[1:][sig[1:] == sig[:-1]] >> K.U(shift)
+        word, first = np.unique(at >> K.U(6), return_index=True)
+        bits = np.bitwise_or.reduceat(K.U(1) << (at & K.U(63)), first) if len(at) else at
+        return pa.table({"word": word.view(np.int64), "bits": bits.view(np.int64)})
+
+    found = docs.select("text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(words, "word long, bits long").toArrow()
     table = np.zeros(options.filter_bits >> 6, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(table.view(K.U).tobytes())
+    np.bitwise_or.at(table, found["word"].to_numpy(), found["bits"].to_numpy())
+    return table.view(K.U)
+
+
+def around_hubs(docs: DataFrame, repeated: np.ndarray, plan: list[Band], options: Options, parts: int) -> DataFrame:
+    """(hub, cls): names of sets and of the least set that has a signature in common, the hub itself included.
+
+    Signatures are computed again, as they would take more space than the texts, and those that the bit table does not
+    hold are left out where they are computed."""
+    shift = SIGNATURE_BITS - (options.filter_bits.bit_length() - 1)
+    held = docs.sparkSession.sparkContext.broadcast(repeated.tobytes())
 
     def run(batches):
         table = np.frombuffer(held.value, K.U)
-        for names, sig, of in _signed(batches, plan, options):
-            index = sig & K.U(len(table) * 64 - 1)
-            keep = ((table[index >> K.U(6)] >> (index & K.U(63))) & K.U(1)).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(names[of[keep]]), pa.array(sig[keep].view(np.int64))], names=["cls", "sig"])
 
-    return docs.select("text").mapInArrow(run, "cls long, sig long")
+        def found():
+            for names, sig, of in _signed(batches, plan, options):
+                at = sig >> K.U(shift)
+                keep = ((table[at >> K.U(6)] >> (at & K.U(63))) & K.U(1)).astype(bool)
+                yield sig[keep], names[of[keep]]
+
+        for sig, names in _in_lots(found()):
+            yield _pack(sig, names, parts)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        K.trim_memory()
+        sig, cls = _unpack(table), np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("names")])
+        order = np.lexsort((cls, sig))
+        sig, cls = sig[order], cls[order]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(first, len(sig)))
+        hub, shared = np.repeat(cls[first], size), np.repeat(cls[first] != cls[first + size - 1], size)
+        hub, cls = hub[shared], cls[shared]
+        order = np.lexsort((cls, hub))
+        hub, cls = hub[order], cls[order]
+        new = np.ones(len(hub), bool)
+        new[1:] = (hub[1:] != hub[:-1]) | (cls[1:] != cls[:-1])
+        return pa.table({"hub": hub[new], "cls": cls[new]})
+
+    return docs.select("text").mapInArrow(run, PACKED).groupBy("part").applyInArrow(pairs, "hub long, cls long").distinct()
 
 
 @dataclass
@@ -523,14 +620,13 @@ def jaccard_join(docs: DataFrame, options: Options | None = None, all_links: boo
     sketches = classes.select(F.col("rep").alias("row"), "sketch")
 
     # A set goes by half of its name here.
-    signed = signature_rows(slim, plan, options)
-    exploded = signed.select(F.col("set_a").alias("cls"), F.explode("sigs").alias("sig"))
-    shared = cut(exploded.groupBy("sig").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("sig", "hub"))
+    distinct = once(slim, rows)
+    parts = min(1 << 14, max(32, (classes.agg(F.sum("n")).first()[0] or 0) // (2 * HELD)))
+    repeated = repeated_signatures(distinct, plan, options, parts)
     release(spark)
-    around = shared_signatures(slim, shared, plan, options).distinct().join(shared, "sig").select("hub", "cls").distinct()
+    around = around_hubs(distinct, repeated, plan, options, parts)
     columns = ["hub", "row", "n", F.col("row").alias("root"), "words", (F.col("cls") == F.col("hub")).alias("centre")]
     rows_around = cut(around.join(facts, "cls").select(*columns))
-    discard(shared)
     release(spark)
 
     def sets(some):

@@ -291,6 +291,22 @@ def test_join_query_and_empty(spark, sf_dir, no_docs):
     assert ngram_join.one_per_component(no_docs).count() == 0
 
 
+def test_packed_signatures_are_small():
+    """What the join shuffles per signature and per allowed difference; steps that four bytes do not hold come back too."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    for n, most in ((ngram_join.HELD, 5), (5, 100), (1, 1000)):
+        sig = np.sort(rnd.integers(0, 1 << 48, n).astype(np.uint64))
+        sig[-1] = sig[max(0, n - 2)]  # one comes twice
+        batch = ngram_join._pack(sig, None, 7)
+        assert (ngram_join._unpack(pa.Table.from_batches([batch])) == sig).all()
+        assert batch.nbytes <= most * n
+    for o in OPTIONS:
+        assert all(64 * ngram_join.sketch_words(n, o) <= max(64, 8 * ngram_join.difference(2 * n, o)) for n in range(1, 5000))
+
+
 def test_a_large_group_of_copies(spark):
     """Near copies of one text, some too far from all others, and a passage that many texts share."""
     rnd = random.Random(8)
